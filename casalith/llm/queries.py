@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import chat, decontaminate, mixing, secrets, sharding
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_format_chat": lambda spark, d: chat.op1(table(spark, d, "conversations")),
         "op2_mix_sources": lambda spark, d: mixing.op2(table(spark, d, "documents")),
+        "op4_decontaminate": lambda spark, d: decontaminate.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op8_shard": lambda spark, d: sharding.op8(table(spark, d, "documents")),
+        "op10_scan_secrets": lambda spark, d: secrets.op10(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_format_chat": chat.OP1_SQL, "op4_decontaminate": decontaminate.OP4_SQL}
