@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, secrets, sharding
+from . import chat, decontaminate, merkle, mixing, secrets, sharding, simhash
 from .common import table
 
 
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_format_chat": lambda spark, d: chat.op1(table(spark, d, "conversations")),
         "op2_mix_sources": lambda spark, d: mixing.op2(table(spark, d, "documents")),
         "op4_decontaminate": lambda spark, d: decontaminate.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op5_near_duplicates": lambda spark, d: simhash.op5(table(spark, d, "documents")),
         "op8_shard": lambda spark, d: sharding.op8(table(spark, d, "documents")),
+        "op9_fingerprint": lambda spark, d: merkle.op9(table(spark, d, "documents")),
         "op10_scan_secrets": lambda spark, d: secrets.op10(table(spark, d, "documents")),
     }
 
