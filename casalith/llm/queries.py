@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, merkle, mixing, pii, secrets, sharding, simhash
+from . import chat, decontaminate, merkle, mixing, pii, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": lambda spark, d: mixing.op2(table(spark, d, "documents")),
         "op4_decontaminate": lambda spark, d: decontaminate.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op5_near_duplicates": lambda spark, d: simhash.op5(table(spark, d, "documents")),
+        "op6_toxicity": lambda spark, d: toxicity.op6(table(spark, d, "documents"), table(spark, d, "labels")),
         "op7_find_pii": lambda spark, d: pii.op7(table(spark, d, "documents")),
         "op8_shard": lambda spark, d: sharding.op8(table(spark, d, "documents")),
         "op9_fingerprint": lambda spark, d: merkle.op9(table(spark, d, "documents")),
