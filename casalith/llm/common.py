@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-_SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,17 +26,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, all other characters as they are."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def word_count(text: Column) -> Column:
-    """Number of words without an array of them: blanks become one character, runs of it collapse, and the ends go."""
-    one = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    n = F.length(one) - F.length(F.translate(one, " ", ""))
-    ends = F.when(one.startswith(" "), 1).otherwise(0) + F.when(one.endswith(" "), 1).otherwise(0)
-    return F.when(F.translate(one, " ", "") == "", 0).otherwise(n + 1 - ends).cast("long")
+    """Number of words; of null: 0."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def shared_dir(spark: SparkSession) -> str:

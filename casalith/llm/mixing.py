@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import WORD, cut, word_count
 
 #: Fixed values of the contract: weights by rank of source, and how often a source may be repeated at most.
 WEIGHTS, REPEATS = (5, 2, 1), 3
@@ -98,30 +98,32 @@ def schedule(targets: DataFrame, block: int, slots: int, cells: int = 4096) -> D
     return kept.unionByName(tail.select("source_no", "rank", (F.lit(slots) + F.col("rank")).cast("long").alias("slot")))
 
 
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.withColumn("__mix", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]))
+
+
 def mix(docs: DataFrame, slots: int = 1 << 18, seed: int = 11, rows_a_bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(streams, pieces): documents placed in their source's shuffled stream, and what each slot of the mix takes of them.
 
-    streams: all columns of docs, with size, source_size, target, source_no and row_no (unique for each row).
+    streams: the columns of docs but text, with size, source_size, target, source_no and row_no (unique for each row of a source).
     pieces: slot, source_no, row_no, epoch (0 to 2), from_word, to_word (in the document; the end is exclusive).
     The mix has about as many words as docs. slots is the number of schedule points at any size of input, so a block has
-    1/slots of all words. Null text has size 0 and no piece; null source is a source; repeated rows are rows of their own;
-    an empty table gives two empty tables. Columns of docs named like those added are replaced.
+    1/slots of all words. Texts are read once; what follows works on their sizes. Null text has size 0 and no piece; null source
+    is a source; repeated rows are rows of their own; an empty table gives two empty tables. Columns of docs named like those
+    added are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("size", "source_size", "target", "source_no", "row_no", "start")
-    cols = docs.columns
-    sized = docs.withColumns({"size": word_count(F.col("text")), "__mix": F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols])})
-    narrow = cut(sized.select("source", "size", "__mix"))
-    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
+    cols = [c for c in docs.columns if c not in ("text", "size", "source_size", "target", "source_no", "row_no", "start", "quota", "__mix", "__bucket")]
+    rows = cut(_keyed(docs, seed).select(*[F.col(f"`{c}`") for c in cols], word_count(F.col("text")).alias("size"), "__mix"))
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
     targets = cut(targets.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")))
     whole = targets.agg(F.sum("source_size")).first()[0] or 0
-    buckets = max(16, narrow.count() // rows_a_bucket)
+    buckets = max(16, rows.count() // rows_a_bucket)
     block = max(1, -(-whole // slots))
     named = targets.select(F.col("source").alias("__s"), "source_size", "target", "quota", "source_no")
-    streams = sized.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    streams = streams.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__mix"), F.lit(buckets)))
-    streams = _place(streams)
-    streams = streams.select(*[F.col(f"`{c}`") for c in cols], "size", "source_size", "target", "quota", "source_no", "start", "row_no")
+    streams = rows.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    streams = _place(streams.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__mix"), F.lit(buckets))))
+    streams = cut(streams.drop("__bucket"))
     epochs = streams.filter("size > 0").select("source_no", "row_no", "size", "start", "source_size", "quota")
     epochs = epochs.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))).withColumn("p", F.col("start") + F.col("epoch") * F.col("source_size"))
     epochs = epochs.withColumn("end", F.least(F.col("p") + F.col("size"), "quota")).filter("p < end")
@@ -129,9 +131,9 @@ def mix(docs: DataFrame, slots: int = 1 << 18, seed: int = 11, rows_a_bucket: in
     split = split.withColumns(
         {"from_word": F.greatest(F.col("p"), F.col("rank") * block) - F.col("p"), "to_word": F.least(F.col("end"), (F.col("rank") + 1) * block) - F.col("p")}
     )
-    plan = schedule(targets, block, -(-whole // block)) if whole else spark.createDataFrame([], "source_no long, rank long, slot long")
+    plan = schedule(targets, block, -(-whole // block))
     pieces = split.join(plan, ["source_no", "rank"]).select("slot", "source_no", "row_no", "epoch", "from_word", "to_word")
-    return streams.drop("quota"), pieces
+    return streams.drop("quota", "start"), pieces
 
 
 def takes(streams: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -140,18 +142,22 @@ def takes(streams: DataFrame, pieces: DataFrame) -> DataFrame:
     return streams.join(got, ["source_no", "row_no"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     """The mix as documents: a row with the columns of docs for each epoch of each document taken, its text cut to the words taken.
 
-    In one epoch the words taken of a document are one run; only at a source's quota is it shorter than the document. Such a
-    text keeps everything from the first word taken to the last, blanks as they were.
+    In one epoch the words taken of a document are one run from its first word; only at a source's quota is it shorter than
+    the document. A shorter text keeps everything up to the last word taken, blanks as they were. A text without words has
+    no place in the mix. Texts move once, to the runs taken of them.
     """
-    streams, pieces = mix(docs, **options)
-    runs = pieces.groupBy("source_no", "row_no", "epoch").agg(F.min("from_word").alias("a"), F.max("to_word").alias("b"))
-    whole = streams.join(runs, ["source_no", "row_no"])
-    cut_text = F.expr(r"regexp_extract(text, concat('^((?:[ \\x09-\\x0D]*[^ \\x09-\\x0D]+){', cast(b as string), '})'), 1)")
-    text = F.when((F.col("a") == 0) & (F.col("b") == F.col("size")), F.col("text")).otherwise(cut_text)
-    return whole.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    streams, pieces = mix(docs, seed=seed, **options)
+    runs = pieces.groupBy("source_no", "row_no", "epoch").agg(F.max("to_word").alias("b"))
+    runs = streams.select("source_no", "row_no", "size", "__mix").join(runs, ["source_no", "row_no"]).select("__mix", "size", "b")
+    one = _keyed(docs, seed).dropDuplicates(["__mix"])
+    gaps, said = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    b = F.col("b").cast("int")
+    cut_text = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), b), F.slice(said, F.lit(1), b), lambda x, y: F.concat(x, y)), "")
+    text = F.when(F.col("b") == F.col("size"), F.col("text")).otherwise(cut_text)
+    return one.join(runs, "__mix").withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2(docs: DataFrame) -> DataFrame:
