@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, merkle, mixing, pii, secrets, sharding, simhash, toxicity
+from . import chat, decontaminate, html_text, merkle, mixing, pii, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_format_chat": lambda spark, d: chat.op1(table(spark, d, "conversations")),
         "op2_mix_sources": lambda spark, d: mixing.op2(table(spark, d, "documents")),
+        "op3_extract_html": lambda spark, d: html_text.op3(table(spark, d, "pages")),
         "op4_decontaminate": lambda spark, d: decontaminate.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op5_near_duplicates": lambda spark, d: simhash.op5(table(spark, d, "documents")),
         "op6_toxicity": lambda spark, d: toxicity.op6(table(spark, d, "documents"), table(spark, d, "labels")),
