@@ -21,6 +21,7 @@ from .common import let
 
 _WORD = re.compile(r"\w+")
 
+
 def features(token: str) -> tuple[str, ...]:
     """A lower-cased token's features: itself, and its first 4 and 5 characters if it is longer."""
     return tuple([f"w:{token}"] + [f"{n}:{token[:n]}" for n in (4, 5) if len(token) > n])
@@ -117,16 +118,14 @@ def marginals(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return odds / (1 + odds)
 
 
-def _train(chains: list[tuple[np.ndarray, np.ndarray]], n_features: int, rounds: int = 150, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def _train(chains: Counter, n_features: int, rounds: int = 150, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights (the bias last) and moves by gradient ascent (Adam) on the likelihood of tags.
 
-    chains: (features of each position, -1 padded: positions x k; tags). All have the same length; weights are shared.
+    chains: how often each (features of each position, -1 padded, 3 a position; tags) occurs, as bytes of int32. All have one length.
     """
-    f = np.stack([c[0] for c in chains])
-    y = np.stack([c[1] for c in chains])
-    known, count = np.unique(np.concatenate([f.reshape(len(f), -1), y], axis=1), axis=0, return_inverse=False, return_counts=True)
-    k = f.shape[2]
-    f, y = known[:, : f.shape[1] * k].reshape(len(known), f.shape[1], k), known[:, f.shape[1] * k :]
+    y = np.stack([np.frombuffer(c[1], np.int32) for c in chains])
+    f = np.stack([np.frombuffer(c[0], np.int32) for c in chains]).reshape(*y.shape, 3)
+    k, count = 3, np.fromiter(chains.values(), float, len(chains))
     share = count / count.sum()
     theta, m1, m2 = np.zeros(n_features + 5), np.zeros(n_features + 5), np.zeros(n_features + 5)
     theta[n_features] = -2.0
@@ -174,29 +173,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, stretch: int = 6
         return Model({}, -10.0, np.zeros((2, 2)), (0.0, 0.0, -5.0))
     low = F.xxhash64(F.lit(5), "doc_id")
     drawn = [r for t in (0, 1) for r in rows.filter(F.col("toxic") == t).orderBy(low, "doc_id").limit(sample).select("text", "toxic").collect()]
-    chains, docs_tokens = [], []
-    ids: dict[str, tuple[int, ...]] = {}
+    chains: Counter = Counter()
     for text, toxic in drawn:
-        tokens = _WORD.findall(text.lower())
+        known_at, tokens = [], _WORD.findall(text.lower())
         for t in tokens:
-            if t not in ids:
-                ids[t] = (*[no.get(f, -1) for f in features(t)], -1, -1)[:3]
-        f = np.array([ids[t] for t in tokens], np.int64).reshape(-1, 3)
-        docs_tokens.append((tokens, toxic))
+            known_at.append((*[no.get(f, -1) for f in features(t)], -1, -1)[:3])
+        f = np.array(known_at, np.int32).reshape(-1, 3)
         y = (f >= 0).any(axis=1) & bool(toxic)
         pad = -len(f) % stretch
-        f, y = np.concatenate([f, np.full((pad, 3), -1)]), np.concatenate([y, np.zeros(pad, bool)]).astype(np.int64)
-        chains += [(f[i : i + stretch], y[i : i + stretch]) for i in range(0, len(f), stretch)]
+        f, y = np.concatenate([f, np.full((pad, 3), -1, np.int32)]), np.concatenate([y, np.zeros(pad, bool)]).astype(np.int32)
+        for i in range(0, len(f), stretch):
+            # most stretches are alike: none of their tokens has a feature
+            chains[(f[i : i + stretch].tobytes(), y[i : i + stretch].tobytes())] += 1
     if not chains:
         return Model({}, -10.0, np.zeros((2, 2)), (0.0, 0.0, -5.0))
     theta, moves = _train(chains, len(no))
     model = Model({f: float(theta[i]) for f, i in no.items()}, float(theta[-1]), moves, (0.0, 0.0, 0.0))
-    return Model(model.weights, model.bias, moves, _calibrate(model, docs_tokens))
+    return Model(model.weights, model.bias, moves, _calibrate(model, drawn))
 
 
-def _calibrate(model: Model, docs: list[tuple[list[str], int]]) -> tuple[float, float, float]:
-    """Logistic weights of (log1p of expected toxic tokens, largest marginal) and an intercept, by Newton steps."""
-    found = [s for s, _ in score_tokens(model, [t for t, _ in docs])]
+def _calibrate(model: Model, docs: list) -> tuple[float, float, float]:
+    """Logistic weights of (log1p of expected toxic tokens, largest marginal) and an intercept, by Newton steps. docs: (text, label)."""
+    found = []
+    for at in range(0, len(docs), 300):
+        found += [s for s, _ in score_tokens(model, [_WORD.findall(d[0].lower()) for d in docs[at : at + 300]])]
     x = np.array([[np.log1p(s[0]), s[1], 1.0] for s in found])
     y = np.array([d[1] for d in docs], float)
     w = np.zeros(3)
@@ -214,7 +214,7 @@ class _Emissions(dict):
         self.model = model
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = value = self.model.emission(token)
         return value
