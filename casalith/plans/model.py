@@ -48,7 +48,7 @@ def artifacts(spark, d) -> DataFrame:
     return x.select(F.concat(F.lit("d"), F.col("doc_id")).alias("artifact_id"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").alias("byte_length"), F.col("source").alias("locator"), F.col("doc_id").alias("row_seq"))
 
 
-ARTIFACTS_SQL = "SELECT 'd' || doc_id AS artifact_id, sha256(text) AS content_hash, octet_length(text::BLOB)::INT AS byte_length, source AS locator, doc_id AS row_seq FROM documents"
+ARTIFACTS_SQL = "SELECT 'd' || doc_id AS artifact_id, sha256(text) AS content_hash, strlen(text)::INT AS byte_length, source AS locator, doc_id AS row_seq FROM documents"
 
 
 def runs(spark, d) -> DataFrame:
