@@ -1,2 +1,124 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Lineage, audit, package, report, extraction and limit queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import lineage as L
+from ..sources import extract as E
+from . import model as M
+
+c = F.col
+
+
+def _verified(spark, d):
+    """2,000 events chained in order, of which one was changed afterwards."""
+    e = M.t(spark, d, "events").filter("event_id < 2000").agg(F.array_sort(F.collect_list(F.struct(c("event_id").alias("id"), c("event_type").alias("action")))).alias("e"))
+    none = F.array().cast("array<struct<id:bigint,action:string,prev_hash:string,hash:string>>")
+    start = F.struct(F.lit(None).cast("string").alias("prev"), none.alias("out"))
+
+    def link(s, x):
+        h = L.chain_hash(s["prev"], x["id"], x["action"])
+        return F.struct(h.alias("prev"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), x["action"].alias("action"), s["prev"].alias("prev_hash"), h.alias("hash")))).alias("out"))
+
+    rows = e.select(F.inline(F.aggregate("e", start, link, lambda s: s["out"])))
+    return L.verify_chain(rows.withColumn("action", F.when(c("id") == 500, "edited").otherwise(c("action"))), ["id", "action"], 300)
+
+
+def _rows(spark, d):
+    a = M.artifacts(spark, d)
+    der = a.select(F.concat(F.lit("k"), c("row_seq") % 100).alias("input_id"), c("artifact_id").alias("output_id"), "row_seq").unionByName(a.filter("row_seq % 2 = 0").select(F.concat(F.lit("k"), c("row_seq") % 7).alias("input_id"), c("artifact_id").alias("output_id"), (-c("row_seq") - 1).alias("row_seq")))
+    cap = spark.range(100).select(F.concat(F.lit("k"), c("id")).alias("capture_id"), F.concat(F.lit("https://example.org/"), c("id")).alias("locator"))
+    obs = M.t(spark, d, "conversations").select(F.concat(F.lit("d"), c("conv_id")).alias("artifact_id"), (c("turn") % 3 == 0).alias("superseded"))
+    return L.artifact_rows(a, der, cap, obs)
+
+
+def _quotes(spark, d):
+    x = M.t(spark, d, "documents").select("doc_id", c("text").cast("binary").alias("content"), F.substring("text", 1, 5).alias("q"))
+    end = F.when(c("doc_id") % 4 == 0, F.octet_length("q")).when(c("doc_id") % 4 == 1, F.least(F.octet_length("content"), F.lit(60))).when(c("doc_id") % 4 == 2, F.lit(10_000_000)).otherwise(F.lit(2))
+    return x.select("doc_id", L.check_quote(c("content"), c("q"), F.lit(0), end)["verdict"].alias("verdict"))
+
+
+def _supersession(spark, d):
+    x = M.t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), (c("conv_id") % 20).alias("artifact_id"), c("role").alias("kind"), c("turn").alias("locator"), (c("conv_id") * 10 + c("turn")).alias("row_seq"))
+    return L.supersede(x.filter("row_seq % 2 = 0"), x.filter("row_seq % 2 = 1 OR row_seq % 3 = 0"))
+
+
+def _preview(spark, d):
+    x = M.t(spark, d, "documents").select(c("source").alias("artifact_id"), c("doc_id").alias("row_seq"), c("text").alias("value"))
+    return L.preview(x, 20_000, 10).select("artifact_id", "row_seq", "total")
+
+
+def _survey(spark, d):
+    b = M.artifacts(spark, d).groupBy("content_hash").agg(F.min("row_seq").alias("n"), F.max("byte_length").alias("size_bytes"))
+    b = b.select("content_hash", (c("n") % 9 != 0).alias("has_key"), "size_bytes", F.lit(3000).alias("most_bytes"))
+    return L.package_survey(b, M.artifacts(spark, d).filter("row_seq % 5 <> 0").select("content_hash"))
+
+
+def _package(spark, d):
+    p = M.t(spark, d, "part")
+    row = lambda df, h: df.select(c("p_name").alias("name"), h.alias("hash"), c("p_size").alias("size"))
+    p = p.withColumn("p_name", F.concat(F.lit("f"), c("p_partkey")))
+    claimed = row(p.filter("p_partkey % 5 <> 0"), c("p_brand"))
+    actual = row(p.filter("p_partkey % 7 <> 0"), F.when(c("p_partkey") % 11 == 0, "other").otherwise(c("p_brand"))).unionByName(row(p.filter("p_partkey % 13 = 0"), c("p_brand")))
+    return L.package_verify(claimed, actual)
+
+
+def _report(spark, d):
+    f = M.t(spark, d, "nation").select(c("n_nationkey").alias("finding_id"), c("n_name").alias("title"))
+    cit = M.t(spark, d, "supplier").select(c("s_nationkey").alias("finding_id"), c("s_suppkey").alias("position"), c("s_suppkey").alias("subject_id"))
+    return L.report(f, cit, M.t(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(c("s_suppkey").alias("subject_id"), c("s_name").alias("label")))
+
+
+def _html(spark, d):
+    return E.html_observations(M.t(spark, d, "pages")).filter("kind IN ('page.title', 'link.href')").groupBy("page_id").agg(F.max(F.when(c("kind") == "page.title", c("value"))).alias("title"), F.count_if(c("kind") == "link.href").alias("links"))
+
+
+def _bucket(spark, d):
+    e = M.t(spark, d, "events").select(c("event_type").alias("key"), (c("event_id") / 20).cast("double").alias("at"), c("event_id").alias("seq"))
+    return L.token_bucket(e, 5, 2).groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("asked"))
+
+
+def _violations(spark, d):
+    o = M.t(spark, d, "orders")
+    return L.violations(o, {"status is known": c("o_orderstatus").isin("F", "O"), "price is not negative": c("o_totalprice") >= 0, "customer is set": c("o_custkey").isNotNull()})
+
+
+def _json(spark, d):
+    return E.json_observations(M.t(spark, d, "events"), "event_id", "props").select("event_id", c("kind").alias("pointer"), "value")
+
+
+QUERIES = {
+    "lineage_artifact_rows": _rows,
+    "lineage_also_collected": lambda s, d: L.also_collected(M.artifacts(s, d)),
+    "lineage_quote_check": _quotes,
+    "supersession_match": _supersession,
+    "evidence_preview": _preview,
+    "audit_chain_verify": _verified,
+    "package_survey": _survey,
+    "package_verify": _package,
+    "report_citations": _report,
+    "html_title_links": _html,
+    "json_scalars": _json,
+    "token_bucket_replay": _bucket,
+    "constraint_violations": _violations,
+}
+
+SQL = {
+    "lineage_artifact_rows": f"""WITH a AS ({M.ARTIFACTS_SQL}), o AS (SELECT 'd' || conv_id AS id, count(*) AS n FROM conversations WHERE turn % 3 <> 0 GROUP BY 1)
+      SELECT artifact_id, 'https://example.org/' || CASE WHEN row_seq % 2 = 0 THEN row_seq % 7 ELSE row_seq % 100 END AS locator, coalesce(n, 0) AS observations FROM a LEFT JOIN o ON o.id = artifact_id""",
+    "lineage_also_collected": f"WITH a AS ({M.ARTIFACTS_SQL}) SELECT x.artifact_id, (SELECT count(*) - 1 FROM a y WHERE y.content_hash = x.content_hash) AS copies, (SELECT min_by(artifact_id, row_seq) FROM a y WHERE y.content_hash = x.content_hash) AS first_copy FROM a x WHERE row_seq > (SELECT min(row_seq) FROM a y WHERE y.content_hash = x.content_hash)",
+    "lineage_quote_check": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'exact' WHEN doc_id % 4 = 1 THEN CASE WHEN text = left(text, 5) THEN 'exact' ELSE 'contains' END WHEN doc_id % 4 = 2 THEN 'out_of_range' ELSE 'differs' END AS verdict FROM documents",
+    "supersession_match": """WITH x AS (SELECT conv_id || '-' || turn AS id, conv_id % 20 AS a, role AS k, turn AS l, conv_id * 10 + turn AS s FROM conversations)
+      SELECT o.id AS superseded_id, (SELECT min_by(n.id, n.s) FROM x n WHERE (n.s % 2 = 1 OR n.s % 3 = 0) AND n.a = o.a AND n.k = o.k AND n.l = o.l) AS superseded_by FROM x o WHERE o.s % 2 = 0""",
+    "evidence_preview": "SELECT artifact_id, row_seq, total FROM (SELECT source AS artifact_id, doc_id AS row_seq, sum(strlen(text)) OVER w AS total, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE total <= 20000 AND n <= 10",
+    "audit_chain_verify": "SELECT count(*) AS checked, 500::BIGINT AS first_break, 'event was changed' AS reason FROM events WHERE event_id < 2000",
+    "package_survey": f"""WITH a AS ({M.ARTIFACTS_SQL}), b AS (SELECT content_hash, min(row_seq) AS n, max(byte_length) AS s, bool_or(row_seq % 5 <> 0) AS f FROM a GROUP BY 1)
+      SELECT content_hash, CASE WHEN n % 9 = 0 THEN 'shredded' WHEN NOT f THEN 'missing' WHEN s > 3000 THEN 'excluded' ELSE 'travelling' END AS standing FROM b""",
+    "package_verify": """SELECT 'f' || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN 'unclaimed' WHEN p_partkey % 7 = 0 AND p_partkey % 13 <> 0 THEN 'absent' WHEN p_partkey % 13 = 0 AND p_partkey % 7 <> 0 THEN 'duplicate'
+      WHEN p_partkey % 11 = 0 AND p_partkey % 7 <> 0 THEN 'mismatch' ELSE 'ok' END AS finding FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 7 <> 0 OR p_partkey % 13 = 0""",
+    "report_citations": """SELECT n_nationkey AS finding_id, concat_ws(chr(10), '## ' || n_name, (SELECT string_agg('- ' || CASE WHEN s_suppkey % 3 <> 0 THEN s_name ELSE '[not available]' END, chr(10) ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey)) AS body FROM nation""",
+    "html_title_links": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a href="[^"]+"')) AS links FROM pages""",
+    "json_scalars": "SELECT event_id, '/k' AS pointer, props->>'$.k' AS value FROM events",
+    "constraint_violations": "SELECT 'status is known' AS rule, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O') HAVING count(*) > 0",
+}
