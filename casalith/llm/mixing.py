@@ -151,12 +151,12 @@ def mixed_documents(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     """
     streams, pieces = mix(docs, seed=seed, **options)
     runs = pieces.groupBy("source_no", "row_no", "epoch").agg(F.max("to_word").alias("b"))
-    runs = streams.select("source_no", "row_no", "size", "__mix").join(runs, ["source_no", "row_no"]).select("__mix", "size", "b")
+    runs = streams.select("source_no", "row_no", "size", "__mix").join(runs, ["source_no", "row_no"]).select("__mix", F.col("size").alias("__size"), F.col("b").alias("__b"))
     one = _keyed(docs, seed).dropDuplicates(["__mix"])
     gaps, said = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    b = F.col("b").cast("int")
+    b = F.col("__b").cast("int")
     cut_text = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), b), F.slice(said, F.lit(1), b), lambda x, y: F.concat(x, y)), "")
-    text = F.when(F.col("b") == F.col("size"), F.col("text")).otherwise(cut_text)
+    text = F.when(F.col("__b") == F.col("__size"), F.col("text")).otherwise(cut_text)
     return one.join(runs, "__mix").withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
