@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, let
 
 _WORD = re.compile(r"\w+")
-
+#: So many labels at most (12 bytes each) are broadcast to the texts; with more, texts are shuffled to their labels.
+MOST_BROADCAST_ROWS = 1_000_000
 
 def features(token: str) -> tuple[str, ...]:
     """A lower-cased token's features: itself, and its first 4 and 5 characters if it is longer."""
@@ -165,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, stretch: int = 6
     those whose id hashes lowest, whole, cut into stretches of 64 tokens. Rows whose label is null, and null texts, say nothing.
     With no toxic row the model finds nothing toxic.
     """
-    known = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).join(known, "doc_id")
+    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = F.broadcast(known) if known.count() <= MOST_BROADCAST_ROWS else known
+    rows = cut(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).join(known, "doc_id"))
     lex = lexicon(rows)
     no = {f: i for i, f in enumerate(lex)}
     if not no:
