@@ -222,10 +222,25 @@ class _Emissions(dict):
         return value
 
 
-def _plain(model: Model, n: int, edge: int = 256) -> tuple[float, float]:
-    """(expected, largest) of a chain of n tokens without any feature: in its middle, marginals are all alike."""
-    p = marginals(np.concatenate([np.full((1, min(n, 2 * edge)), model.bias), [[-30.0]]], axis=1), model.moves)[0, :-1]
-    return float(p.sum() + max(0, n - 2 * edge) * p[len(p) // 2]), float(p.max())
+class _Plain:
+    """(expected, largest) of a chain of n tokens without any feature.
+
+    Its forward messages depend on the distance from the start alone, its backward ones on the distance from the end, and both
+    are constant from some hundred tokens on.
+    """
+
+    def __init__(self, model: Model, edge: int = 512):
+        x = np.exp(np.clip(np.full((1, edge + 1), model.bias), -30, 30))
+        x[0, -1] = np.exp(-30.0)
+        ahead, back = _messages(x, np.exp(model.moves))
+        self.edge, self.ahead, self.back = edge, ahead[0, :-1], back[0, :-1][::-1]
+
+    def __call__(self, n: int) -> tuple[float, float]:
+        k = min(n, self.edge)
+        back = self.back[:k][::-1]
+        odds = self.ahead[:k] * back if n <= self.edge else np.concatenate([self.ahead[: k // 2] * self.back[-1], self.ahead[-1] * back[k // 2 :]])
+        p = odds / (1 + odds)
+        return float(p.sum() + max(0, n - k) * p[k // 2]), float(p.max())
 
 
 def score_tokens(model: Model, docs: list[list[str]], block: int = 512, cells: int = 2_000_000) -> list[tuple[tuple[float, float], list[int]]]:
@@ -233,7 +248,7 @@ def score_tokens(model: Model, docs: list[list[str]], block: int = 512, cells: i
 
     Documents with a known feature go through the chain in blocks of about equal length and at most so many cells.
     """
-    memo, plain = _Emissions(model), {}
+    memo, plain = _Emissions(model), _Plain(model)
     out: list = [((0.0, 0.0), [])] * len(docs)
     todo: list[tuple[int, np.ndarray]] = []
     for i, tokens in enumerate(docs):
@@ -241,9 +256,7 @@ def score_tokens(model: Model, docs: list[list[str]], block: int = 512, cells: i
             continue
         e = np.fromiter(map(memo.__getitem__, tokens), float, len(tokens))
         if (e == model.bias).all():
-            if len(e) not in plain:
-                plain[len(e)] = _plain(model, len(e))
-            out[i] = (plain[len(e)], [])
+            out[i] = (plain(len(e)), [])
         else:
             todo.append((i, e))
     todo.sort(key=lambda x: len(x[1]))
