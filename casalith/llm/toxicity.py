@@ -159,6 +159,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _draw(rows: DataFrame, sample: int) -> list:
+    """(text, toxic) of the rows whose id hashes lowest: ids are ranked first, so that only the sample's texts reach the driver."""
+    low = F.xxhash64(F.lit(5), "doc_id")
+    last = rows.select(low.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    return [] if last is None else rows.filter(low <= last).select("text", "toxic", low.alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).select("text", "toxic").collect()
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, stretch: int = 64) -> Model:
     """A model from the labelled rows that aren't held out.
 
@@ -173,8 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, stretch: int = 6
     no = {f: i for i, f in enumerate(lex)}
     if not no:
         return Model({}, -10.0, np.zeros((2, 2)), (0.0, 0.0, -5.0))
-    low = F.xxhash64(F.lit(5), "doc_id")
-    drawn = [r for t in (0, 1) for r in rows.filter(F.col("toxic") == t).orderBy(low, "doc_id").limit(sample).select("text", "toxic").collect()]
+    drawn = [r for t in (0, 1) for r in _draw(rows.filter(F.col("toxic") == t), sample)]
     chains: Counter = Counter()
     for text, toxic in drawn:
         known_at, tokens = [], _WORD.findall(text.lower())
