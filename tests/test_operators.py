@@ -137,3 +137,25 @@ def test_perceptual_hash():
     flat = np.zeros((32, 32))
     flat[:, 16:] = 255
     assert V.perceptual_hash(flat) == V.perceptual_hash(flat * 0.5)
+
+
+def test_wallets():
+    from casalith.functions.wallet import keccak256, normalise_wallet
+
+    assert keccak256(b"").hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    good = "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed"
+    assert normalise_wallet(good.lower()) == good and normalise_wallet(good[:-1] + "D") is None
+    assert normalise_wallet("BC1QW508D6QEJXTDG4Y5R3ZARVARY0C5XW7KV8F3T4") == "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"
+    assert normalise_wallet("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa") and normalise_wallet("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb") is None
+
+
+def test_index_is_maintained(spark, tmp_path):
+    from casalith.streaming import index as I
+
+    schema = "subject_id string, body string"
+    for i, body in enumerate(("one two two", "two three")):
+        spark.createDataFrame([(str(i), body)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    I.maintain(stream, str(tmp_path / "out"), str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.token, r.subject_id): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("one", "0"): 1, ("two", "0"): 2, ("two", "1"): 1, ("three", "1"): 1}
