@@ -58,7 +58,7 @@ def _boxes(spark, d):
 
 
 QUERIES = {
-    "vec_normalise": lambda s, d: items(s, d).withColumn("v", F.transform("embedding", lambda x: x * 3)).select("vec_id", F.round(F.element_at(V.normalise(c("v"), 64), 1), 6).alias("first"), V.normalise(c("v"), 32).isNull().alias("wrong_size")),
+    "vec_normalise": lambda s, d: items(s, d).withColumn("v", F.transform("embedding", lambda x: (x * 3).cast("float"))).select("vec_id", F.round(F.element_at(V.normalise(c("v"), 64), 1), 6).alias("first"), V.normalise(c("v"), 32).isNull().alias("wrong_size")),
     "vec_knn": lambda s, d: V.knn(items(s, d), _queries(s, d), 10),
     "vec_threshold_by_owner": _threshold,
     "vec_quality_gate": _gate,
