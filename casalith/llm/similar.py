@@ -2,7 +2,8 @@
 
 SimHash fingerprints within 3 bits, found by the pivot tables of simhash, are candidates. At a Jaccard similarity of 0.8 two
 64-bit fingerprints differ in 10 bits on average, which no index over 3 bits finds; so equal bands of min-hashes give the other
-candidates. All candidates are verified by their exact shingle sets.
+candidates. All candidates are verified by their exact shingle sets: first by a few pairs of each bucket, then, where these leave a
+bucket in several groups, by every pair of texts that no link has joined yet.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from .components import components
 from .simhash import fingerprint, fingerprint_links, hashes
 
 BANDS, ROWS = 24, 5
+#: A bucket with more shingles than this is compared in cells of about this many; every two texts meet in one cell.
+CELL_SHINGLES = 4_000_000
 _DRAW = np.random.default_rng(7)
 _MULTIPLY = _DRAW.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _DRAW.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -61,24 +65,102 @@ def shingle_sets(text: Column, n: int) -> Column:
     return of(text)
 
 
+def _cell_links(root: np.ndarray, offsets: np.ndarray, values: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between the roots of alike texts of a cell: all pairs of different roots are compared, but for those linked by then.
+
+    values[offsets[i] : offsets[i + 1]] is the set of text i. Each shingle's list of texts gives the common counts of one text
+    with all others at once.
+    """
+    size = np.diff(offsets)
+    _, token = np.unique(values, return_inverse=True)
+    holders = np.repeat(np.arange(len(size)), size)[np.argsort(token, kind="stable")]
+    ends = np.cumsum(np.bincount(token)) if len(token) else np.empty(0, np.int64)
+    names, group = np.unique(root, return_inverse=True)
+    members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
+    left, out = np.ones(len(size), bool), []
+    for first in range(len(names)):
+        if not left[members[first][0]]:
+            continue
+        front = members[first].tolist()
+        left[front] = False
+        while front and left.any():
+            x = front.pop()
+            lists = [holders[ends[t - 1] if t else 0 : ends[t]] for t in token[offsets[x] : offsets[x + 1]]]
+            common = np.bincount(np.concatenate(lists), minlength=len(size)) if lists else np.zeros(len(size), np.int64)
+            for y in np.unique(group[left & (common >= least * (size[x] + size - common))]):
+                out.append((int(names[first]), int(names[y])))
+                left[members[y]] = False
+                front += members[y].tolist()
+    return out
+
+
+def _cells_links(least: float):
+    """Over rows (band, value, part, root, set) in order of the first three: the links of each cell."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(rows: pa.Table) -> pa.RecordBatch:
+            sets = rows.column("set").combine_chunks()
+            sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+            offsets = np.asarray(sets.offsets).astype(np.int64)
+            values = np.asarray(sets.values)[offsets[0] : offsets[-1]]
+            x = np.array(_cell_links(np.asarray(rows.column("root")), offsets - offsets[0], values, least), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+        kept: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not rows.num_rows:
+                continue
+            keys = np.stack([np.asarray(rows.column(c)).astype(np.int64) for c in ("band", "value", "part")])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), rows.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                here = tuple(keys[:, s].tolist())
+                if kept and here != last:
+                    yield linked(pa.concat_tables(kept))
+                    kept = []
+                kept.append(rows.slice(s, e - s))
+                last = here
+        if kept:
+            yield linked(pa.concat_tables(kept))
+
+    return of
+
+
+def _rest_links(each: DataFrame, found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between the roots (node, root) of texts that share a bucket (k, band, value, n) and are alike.
+
+    In buckets of three or fewer all pairs were compared before; buckets within one group need nothing more.
+    """
+    key = Window.partitionBy("band", "value")
+    rooted = each.filter("n > 3").select("k", "band", "value").join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    open_ = rooted.withColumns({"low": F.min("root").over(key), "high": F.max("root").over(key)}).filter("low < high").select("k", "band", "value", "root")
+    sized = open_.join(sets.select("k", F.size("set").alias("size")), "k").withColumn("total", F.sum("size").over(key))
+    parts = F.greatest(F.ceil(F.col("total") / (CELL_SHINGLES // 2)), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("k"), parts).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
+    cells = sized.select("k", "band", "value", "root", F.explode(F.when(F.col("total") <= CELL_SHINGLES, F.array(F.lit(-1))).otherwise(pair)).alias("part"))
+    cells = cells.join(sets, "k").select("band", "value", "part", "root", "set").repartition("band", "value", "part").sortWithinPartitions("band", "value", "part")
+    return cells.mapInArrow(_cells_links(least), "a long, b long")
+
+
 def groups(docs: DataFrame, n: int = 5, least: float = 0.8) -> DataFrame:
     """(text_key, root): every distinct text with the least key of its group; text_key is xxhash64 of the text.
 
-    In a bucket of equal bands, each text is compared with the bucket's first, and with its neighbours in order of key; each of
-    24 bands has other buckets, so a pair of similar texts meets in about eight. Null counts as a text of its own, and texts
+    Texts meet in buckets: of equal bands (a pair of similar texts meets in about eight of the 24), and of fingerprints that
+    links within the radius connect. In a bucket each text is compared with the first and with its neighbours in order of key;
+    where that leaves several groups, all other pairs between them are compared too. Null counts as a text of its own, and texts
     without words are alike.
     """
     rows = docs.select(F.xxhash64("text").alias("k"), _sketches(F.col("text"), n).alias("s")).select("k", "s.*")
     nodes = cut(rows.groupBy("k").agg(F.first("f").alias("f"), F.first("bands").alias("bands")))
     key = Window.partitionBy("band", "value")
-    each = nodes.select("k", F.posexplode("bands").alias("band", "value"))
-    each = each.withColumns({"first": F.min("k").over(key), "last": F.lag("k").over(key.orderBy("k"))})
+    near = components(fingerprint_links(nodes.select("f").distinct()))
+    same = nodes.select("k", "f").join(near, nodes["f"] == near["node"], "left").select("k", F.lit(-1).alias("band"), F.coalesce("root", "f").alias("value"))
+    each = nodes.select("k", F.posexplode("bands").alias("band", "value")).unionByName(same)
+    each = cut(each.withColumns({"n": F.count("*").over(key), "first": F.min("k").over(key), "last": F.lag("k").over(key.orderBy("k"))}).filter("n > 1"))
     pairs = each.select("k", F.explode(F.array("first", "last")).alias("o")).filter("o <> k")
-    one = nodes.groupBy("f").agg(F.min("k").alias("m"))
-    same = nodes.join(one, "f").filter("k <> m").select("k", F.col("m").alias("o"))
-    links = fingerprint_links(one.select("f"))
-    near = links.join(one.select(F.col("f").alias("a"), F.col("m").alias("k")), "a").join(one.select(F.col("f").alias("b"), F.col("m").alias("o")), "b").select("k", "o")
-    pairs = cut(pairs.unionByName(same).unionByName(near).select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct())
+    pairs = cut(pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct())
     need = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     texts = docs.select(F.xxhash64("text").alias("k"), "text").join(need, "k", "left_semi").dropDuplicates(["k"])
     sets = cut(texts.select("k", shingle_sets(F.col("text"), n).alias("set")))
@@ -86,7 +168,9 @@ def groups(docs: DataFrame, n: int = 5, least: float = 0.8) -> DataFrame:
     common = F.size(F.array_intersect("x", "y"))
     alike = both.filter((common >= least * (F.size("x") + F.size("y") - common)) | ((F.size("x") == 0) & (F.size("y") == 0)))
     found = components(alike.select("a", "b"))
-    return nodes.join(found, nodes["k"] == found["node"], "left").select(F.col("k").alias("text_key"), F.coalesce("root", "k").alias("root"))
+    joined = components(_rest_links(each, found, sets, least)).select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    rooted = nodes.join(found, nodes["k"] == found["node"], "left").select(F.col("k").alias("text_key"), F.coalesce("root", "k").alias("root"))
+    return rooted.join(joined, rooted["root"] == joined["__n"], "left").select("text_key", F.coalesce("__r", "root").alias("root"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
