@@ -24,7 +24,7 @@ def _threshold(spark, d):
 
 
 def _hashes(spark, d):
-    return M.t(spark, d, "documents").select(c("doc_id").alias("id"), F.conv(F.substring(F.sha2(F.substring("text", 1, 30), 256), 1, 16), 16, -10).cast("long").alias("hash"))
+    return M.t(spark, d, "documents").select(c("doc_id").alias("id"), V.text_simhash(c("text")).alias("hash"))
 
 
 def _ranked(spark, d):
