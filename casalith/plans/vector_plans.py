@@ -46,8 +46,7 @@ def _gate(spark, d):
 
 def _groups(spark, d):
     e = items(spark, d)
-    near = V.knn(e, e.select(c("vec_id").alias("query_id"), c("embedding").alias("vector")).filter("vec_id < 200"), 500).filter("distance <= 0.7 AND query_id < vec_id AND vec_id < 200")
-    return V.complete_link(e, near.select(c("query_id").alias("left_id"), c("vec_id").alias("right_id")), 0.3)
+    return V.complete_link(e, V.pairs_within(e, 0.7), 0.3)
 
 
 def _boxes(spark, d):

@@ -37,3 +37,26 @@ def test_hamming_pairs_against_all_pairs(spark):
     rows = spark.createDataFrame([(i, x - 2**64 if x >= 2**63 else x) for i, x in enumerate(h)], "id long, hash long")
     for most in (3, 8):
         assert {(x.left_id, x.right_id, x.bits) for x in V.hamming_pairs(rows, most).collect()} == {(i, j, n) for j in range(len(h)) for i in range(j) if (n := (h[i] ^ h[j]).bit_count()) <= most}
+
+
+def test_complete_link_groups_of_all_vectors(spark, tmp_path):
+    r = np.random.default_rng(3)
+    near = lambda n: r.normal(size=(n, 64)) * 0.03 + r.normal(size=64)
+    v = np.concatenate([r.normal(size=(150, 64)), near(560), near(40), r.normal(size=(150, 64))])[r.permutation(900)]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    close = v @ v.T >= 0.3
+    groups = []
+    for i in range(len(v)):
+        for g in groups:
+            if close[i, g].all():
+                g.append(i)
+                break
+        else:
+            groups.append([i])
+    want = {i: g[0] for g in groups if len(g) > 1 for i in g}
+    got = {x.vec_id: x.group_id for x in QUERIES["complete_link_groups"](spark, str(tmp_path)).collect()}
+    assert got == want and max(want) >= 200
+    items = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    pairs = {(i, j) for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True)}
+    assert {(x.left_id, x.right_id) for x in V.pairs_within(items, 0.7, block=100).collect()} == pairs
