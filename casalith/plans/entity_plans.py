@@ -37,7 +37,7 @@ def decisions(spark, d):
 
 def relations(spark, d):
     x = M.t(spark, d, "lineitem").join(M.t(spark, d, "orders"), c("l_orderkey") == c("o_orderkey"))
-    return x.filter("o_custkey <= 400").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("id"), F.concat(F.lit("c"), c("o_custkey")).alias("from_entity"), F.concat(F.lit("s"), c("l_suppkey")).alias("to_entity"), F.lit("buys_from").alias("kind"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("row_seq"))
+    return x.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("id"), F.concat(F.lit("c"), c("o_custkey")).alias("from_entity"), F.concat(F.lit("s"), c("l_suppkey")).alias("to_entity"), F.lit("buys_from").alias("kind"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("row_seq"))
 
 
 RELATIONS_SQL = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS id, 'c' || o_custkey AS f, 's' || l_suppkey AS t, l_orderkey * 10 + l_linenumber AS row_seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <= 400"

@@ -60,3 +60,32 @@ def test_complete_link_groups_of_all_vectors(spark, tmp_path):
     items = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
     pairs = {(i, j) for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True)}
     assert {(x.left_id, x.right_id) for x in V.pairs_within(items, 0.7, block=100).collect()} == pairs
+
+
+def same_rows(spark, name, limit, sf="sf0.01"):
+    """The query's rows against its SQL without the limit."""
+    con = duckdb.connect()
+    for f in sorted((DATA / sf).glob("*.parquet")):
+        con.sql(f"CREATE VIEW {f.stem} AS FROM '{f}'")
+    df = QUERIES[name](spark, str(DATA / sf))
+    cols = sorted(df.columns)
+    want = con.sql(SQL[name].replace(*limit)).select(*[f'"{c}"' for c in cols]).fetchall()
+    plain = lambda v: float(v) if type(v).__name__ == "Decimal" else v
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(repr(tuple(map(plain, r))) for r in want)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no supplied tables")
+@pytest.mark.parametrize("name", ["graph_one_hop", "graph_three_hop_reach", "relationships_of_cluster"])
+def test_graph_of_all_customers(spark, name):
+    same_rows(spark, name, (" WHERE o_custkey <= 400", ""))
+
+
+def test_graph_passes_through_any_customer(spark, tmp_path):
+    orders = [(1, 1), (2, 900), (3, 901)]
+    lines = [(1, 1, 10, 5), (2, 1, 10, 5), (2, 2, 11, 5), (3, 1, 11, 5)]
+    spark.createDataFrame([(1,), (900,), (901,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {n: {(x.node, x.depth) for x in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("graph_one_hop", "graph_three_hop_reach", "graph_bounded_expand")}
+    two = {("c1", 0), ("s10", 1), ("c900", 2)}
+    assert got == {"graph_one_hop": {("c1", 0), ("s10", 1)}, "graph_three_hop_reach": two | {("s11", 3)}, "graph_bounded_expand": two}
