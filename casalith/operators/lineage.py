@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resolve import cut
+
 
 def artifact_rows(artifacts: DataFrame, derivations: DataFrame, captures: DataFrame, observations: DataFrame) -> DataFrame:
     """artifact_id, locator (of its first capture), current observations.
@@ -60,6 +66,27 @@ def chain_hash(previous: Column, *fields: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.coalesce(previous, F.lit("")), *[f.cast("string") for f in fields]), 256)
 
 
+def chain(events: DataFrame) -> DataFrame:
+    """events (id long, action) with prev_hash and hash, in order of id and action: each hash is chain_hash of the one before and the event.
+
+    A hash needs all events before it, so one task streams the sorted events; it holds a batch at a time.
+    """
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for b in batches:
+            before, after = [], []
+            for i, action in zip(b["id"].tolist(), b["action"].tolist(), strict=True):
+                before.append(last)
+                fields = [last or "", str(i)] + ([] if action is None else [action])
+                last = hashlib.sha256("\x1f".join(fields).encode()).hexdigest()
+                after.append(last)
+            yield b.assign(prev_hash=pd.Series(before, b.index, dtype=object), hash=after)
+
+    one = events.select("id", "action").repartition(1).sortWithinPartitions("id", "action")
+    return cut(one.mapInPandas(link, "id long, action string, prev_hash string, hash string"))
+
+
 def verify_chain(events: DataFrame, fields: list[str], span: int = 100_000) -> DataFrame:
     """(checked, first_break, reason) of an audit chain (id, prev_hash, hash, fields): every link is checked by itself.
 

@@ -54,7 +54,7 @@ def _assessments(spark, d):
 
 
 def _agreement(spark, d):
-    subjects = M.t(spark, d, "documents").filter("doc_id < 60").select(F.concat(F.lit("d"), c("doc_id")).alias("subject_id"))
+    subjects = M.t(spark, d, "documents").select(F.concat(F.lit("d"), c("doc_id")).alias("subject_id"))
     return R.agreement(subjects, ["quality", "toxic", "age"], _assessments(spark, d))
 
 

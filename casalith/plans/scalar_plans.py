@@ -39,7 +39,7 @@ def _suggest(spark, d):
 
 
 def _ranges(spark, d):
-    x = M.t(spark, d, "lineitem").filter("l_orderkey < 2000")
+    x = M.t(spark, d, "lineitem")
     return T.coalesced_ranges(x.select(c("l_suppkey").alias("source"), (c("l_orderkey") * 100 + c("l_linenumber")).alias("start"), c("l_quantity").cast("long").alias("size")), 4096)
 
 
@@ -62,8 +62,8 @@ QUERIES = {
     "column_suggestions": _suggest,
     "mapped_name_columns": lambda s, d: M.t(s, d, "customer").select("c_custkey", T.mapped(["c_mktsegment", "c_name"], "name").alias("name")),
     "coalesced_ranges": _ranges,
-    "csv_neutralise": lambda s, d: M.t(s, d, "documents").select("doc_id", W.spreadsheet_cell(F.concat(F.element_at(F.array(F.lit(" ="), F.lit("a,\""), F.lit("-"), F.lit("")), (c("doc_id") % 4 + 1).cast("int")), F.substring("text", 1, 40))).alias("cell")),
-    "html_escape": lambda s, d: M.t(s, d, "pages").select("page_id", W.html_escape(F.substring("html", 1, 300)).alias("escaped")),
+    "csv_neutralise": lambda s, d: M.t(s, d, "documents").select("doc_id", W.spreadsheet_cell(F.concat(F.element_at(F.array(F.lit(" ="), F.lit("a,\""), F.lit("-"), F.lit("")), (c("doc_id") % 4 + 1).cast("int")), c("text"))).alias("cell")),
+    "html_escape": lambda s, d: M.t(s, d, "pages").select("page_id", W.html_escape(c("html")).alias("escaped")),
 }
 
 _host_sql = "SELECT page_id, nullif(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host FROM pages"

@@ -50,7 +50,7 @@ def _groups(spark, d):
 
 
 def _boxes(spark, d):
-    x = M.t(spark, d, "lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", (c("l_quantity") % 7).alias("a"), (c("l_quantity") % 5).alias("b"))
+    x = M.t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (c("l_quantity") % 7).alias("a"), (c("l_quantity") % 5).alias("b"))
     one = (c("a"), c("b"), c("a") + 4, c("b") + 3)
     two = (F.lit(2.0), F.lit(2.0), F.lit(6.0), F.lit(4.0))
     return x.select("l_orderkey", "l_linenumber", F.round(V.overlap(one, two), 6).alias("iou"), V.thousandths(c("a"), F.lit(7.5)).alias("left"), V.thousandths(c("a") + 4, F.lit(7.5), True).alias("right"))

@@ -89,3 +89,34 @@ def test_graph_passes_through_any_customer(spark, tmp_path):
     got = {n: {(x.node, x.depth) for x in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("graph_one_hop", "graph_three_hop_reach", "graph_bounded_expand")}
     two = {("c1", 0), ("s10", 1), ("c900", 2)}
     assert got == {"graph_one_hop": {("c1", 0), ("s10", 1)}, "graph_three_hop_reach": two | {("s11", 3)}, "graph_bounded_expand": two}
+
+
+LIMITS = {
+    "audit_chain_verify": (" WHERE event_id < 2000", ""),
+    "entity_dimension_agreement": (" WHERE doc_id < 60", ""),
+    "box_overlap": (" WHERE l_orderkey < 500", ""),
+    "coalesced_ranges": (" WHERE l_orderkey < 2000", ""),
+    "csv_neutralise": ("left(text, 40)", "text"),
+    "html_escape": ("left(html, 300)", "html"),
+}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no supplied tables")
+@pytest.mark.parametrize("name", sorted(LIMITS))
+def test_whole_tables_and_texts(spark, name):
+    same_rows(spark, name, LIMITS[name])
+
+
+def test_chain_against_a_loop(spark):
+    import hashlib
+
+    from casalith.operators import lineage as L
+
+    events = [(i, None if i % 7 == 0 else f"a{i % 3}") for i in range(50)]
+    got, last = L.chain(spark.createDataFrame(events[::-1], "id long, action string")).orderBy("id").collect(), None
+    for (i, action), r in zip(events, got, strict=True):
+        h = hashlib.sha256("\x1f".join([last or "", str(i), *([action] if action else [])]).encode()).hexdigest()
+        assert (r.id, r.action, r.prev_hash, r.hash) == (i, action, last, h)
+        last = h
+    rows = spark.createDataFrame([(r.id, "edited" if r.id == 30 else r.action, r.prev_hash, r.hash) for r in got], "id long, action string, prev_hash string, hash string")
+    assert tuple(L.verify_chain(rows, ["id", "action"], 7).first()) == (50, 30, "event was changed")
