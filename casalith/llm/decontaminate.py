@@ -81,7 +81,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
     start = F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0))
     end = F.least(F.col("pos") - F.col("item_pos") + F.col("size"), F.size("h"))
     windows = at.select("doc_id", "text_key", "size", start.alias("start_word"), F.slice("h", start + 1, end - start).alias("window"))
-    windows = windows.groupBy("doc_id", "text_key", "size", "start_word").agg(F.max("window").alias("window"))
+    # clipped windows of other raw starts may share a start: both count
+    windows = windows.withColumn("len", F.size("window")).groupBy("doc_id", "text_key", "size", "start_word", "len").agg(F.max("window").alias("window")).drop("len")
     windows = windows.withColumn("f", simhash("window"))
     left = windows.select("*", F.posexplode(_blocks(F.col("f"), radius)).alias("block", "value"))
     right = items.select("item_id", "size", "bag", "total", "plain", "fingerprint", F.posexplode(_blocks(F.col("fingerprint"), radius)).alias("block", "value"))
@@ -102,7 +103,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
     pairs = pairs.withColumn("similarity", F.round(F.col("both") / (F.col("either") - F.col("both")), 6)).filter(F.col("similarity") >= least)
     best = pairs.groupBy("doc_id", "text_key", "item_id").agg(
         F.min_by(
-            F.struct("start_word", (F.size("window") + n - 1).alias("n_words"), "hamming", "similarity"), F.struct(-F.col("similarity"), F.col("start_word"))
+            F.struct("start_word", (F.size("window") + n - 1).alias("n_words"), "hamming", "similarity"), F.struct(-F.col("similarity"), F.col("start_word"), F.size("window"))
         ).alias("b")
     )
     return best.select("doc_id", "text_key", "item_id", "b.*")
