@@ -38,12 +38,12 @@ def _contexts(text: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) > 0, F.array_distinct(pairs(w))))
 
 
-def lexicon(labelled: DataFrame, least: int = 5, least_share: float = 0.005, least_odds: float = 4.0, most_features: int = 20_000) -> dict[str, float]:
+def lexicon(labelled: DataFrame, least: int = 5, least_odds: float = 4.0, least_evidence: float = 12.0) -> dict[str, float]:
     """Log-odds of features that toxic documents use in many contexts and others hardly ever, over all labelled rows.
 
     In toxic documents a feature counts once for each different word before it, so that the words of one text don't get in by
-    being copied: at least `least` times, and least_share of the number of toxic documents. Only such features are then
-    counted by documents of either label. The most_features surest are kept: a bound of the model's size.
+    being copied: at least `least` times, however many documents there are. Such features are then counted by documents of either
+    label, and all stay whose log-odds are high and whose likelihood ratio against equal shares (G) is least_evidence or more.
     """
     labelled = labelled.select("text", "toxic")
     sizes = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
@@ -53,35 +53,41 @@ def lexicon(labelled: DataFrame, least: int = 5, least_share: float = 0.005, lea
     used = labelled.filter("toxic = 1").select(F.explode(_contexts(F.col("text"))).alias("c")).select("c.word", "c.before").distinct()
     starts = [F.when(F.length("word") > n, F.concat(F.lit(f"{n}:"), F.substring("word", 1, n))) for n in (4, 5)]
     each = used.select(F.explode(F.array(F.concat(F.lit("w:"), "word"), *starts)).alias("f"), "before").filter("f IS NOT NULL").distinct()
-    often = each.groupBy("f").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= max(least, least_share * n1)).select("f")
-    # no more than words of a mean toxic document times features of a word over least_share, however many documents there are
-    wanted = frozenset(r[0] for r in often.collect())
-    counted = labelled.mapInPandas(_counter(wanted), "f string, toxic int, n long").groupBy("f").pivot("toxic", [1, 0]).agg(F.sum("n"))
-    share = lambda c, n: F.log((F.coalesce(F.col(c), F.lit(0)) + 0.5) / (n + 1))
-    top = counted.withColumn("odds", share("1", n1) - share("0", n0)).filter(F.col("odds") >= least_odds).orderBy(F.desc("odds"), "f").limit(most_features)
+    often = each.groupBy("f").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= least).select("f")
+    counts = labelled.mapInPandas(_counter, "f string, toxic int, n long").groupBy("f").agg(*[F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(c) for t, c in ((1, "a"), (0, "b"))])
+    share = lambda c, n: F.log((F.col(c) + 0.5) / (n + 1))
+    part = lambda c, n: F.when(F.col(c) > 0, 2 * F.col(c) * F.log(F.col(c) * (n1 + n0) / (n * (F.col("a") + F.col("b"))))).otherwise(0.0)
+    # without clean documents no share differs, and the log-odds alone decide
+    evidence = part("a", n1) + part("b", n0) if n0 else F.lit(least_evidence)
+    sure = counts.withColumn("odds", share("a", n1) - share("b", n0)).filter((F.col("odds") >= least_odds) & (evidence >= least_evidence))
+    top = sure.join(often, "f", "left_semi").orderBy(F.desc("odds"), "f")
     return {r["f"]: r["odds"] for r in top.select("f", "odds").collect()}
 
 
-def _counter(wanted: frozenset[str]):
-    """Documents that have a feature, by feature and label, for a partition at a time."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        memo: dict[str, tuple[str, ...]] = {}
-        for b in batches:
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                own: set[str] = set()
-                for t in set(_WORD.findall((text or "").lower())):
-                    fs = memo.get(t)
-                    if fs is None:
-                        memo[t] = fs = tuple(f for f in features(t) if f in wanted)
-                    own.update(fs)
-                found.update((f, toxic) for f in own)
-            if len(memo) > 500_000:
+def _counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents that have a feature, by feature and label: partial counts, given out whenever many features are held."""
+    found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    memo: dict[str, tuple[str, ...]] = {}
+
+    def rows() -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"f": list(c.keys()), "toxic": t, "n": list(c.values())}) for t, c in found.items()])
+
+    for b in batches:
+        for text, toxic in zip(b["text"], b["toxic"], strict=True):
+            own: set[str] = set()
+            for t in set(_WORD.findall((text or "").lower())):
+                fs = memo.get(t)
+                if fs is None:
+                    memo[t] = fs = features(t)
+                own.update(fs)
+            found[int(toxic)].update(own)
+            if len(found[0]) + len(found[1]) > 500_000:
+                yield rows()
+                found[0].clear(), found[1].clear()
+            if len(memo) > 200_000:
                 memo.clear()
-        yield pd.DataFrame([(f, t, n) for (f, t), n in found.items()], columns=["f", "toxic", "n"])
-
-    return count
+    if found[0] or found[1]:
+        yield rows()
 
 
 @dataclass
