@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, let
+from .decontaminate import shingle_hashes, simhash
 
 #: Fixed values of the contract: kinds in their order, patterns, the group whose length counts, and the least length.
 BASE = (
@@ -20,6 +21,8 @@ BASE = (
 #: What the method adds where ownership says so: long mixed tokens that no base pattern names.
 BARE = ("bare", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
 KINDS = [k for k, *_ in (*BASE, BARE)]
+#: Texts of one repository whose fingerprints differ in so many bits at most count as one owner.
+NEAR = 3
 
 
 def spans_of(text: Column, no: int, pattern: str, group: int, least: int) -> Column:
@@ -49,39 +52,48 @@ def entropy(value: Column) -> Column:
     return let(chars, each)
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
-    """(hash, owners, repos): by how many distinct owners and repositories each value is held.
+def ownership(candidates: DataFrame, most: int = 3) -> DataFrame:
+    """(hash, owners): by how many owners each value of candidates (hash, repo, owner, likeness) is held, counted up to most + 1.
 
-    Distinct pairs come first, with partial aggregation, so a value that a third of all rows hold costs no task more.
-    Null owners or repositories count as one each.
+    Within a repository, owners whose likeness (a SimHash) differs in NEAR bits at most from a leading one's count as one: a copy
+    of a document in its own repository is no other owner, one in another repository is. Each round takes a leading owner of
+    every value and all that count as one with it. An owner in several places counts once. Distinct owners
+    come first, with partial aggregation. A null repository or owner counts as one.
     """
-    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    pairs = candidates.select("hash", some("owner").alias("owner"), some("repo").alias("repo")).distinct()
-    owned = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    repos = pairs.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
-    return owned.groupBy("hash").agg(F.count("*").alias("owners")).join(repos, "hash")
+    each = candidates.select("hash", "owner", F.struct(F.coalesce(F.col("repo").cast("string"), F.lit("\x00")).alias("repo"), "likeness").alias("x"))
+    rest = cut(each.groupBy("hash", "owner").agg(F.min("x").alias("x")).select("hash", "x.*").distinct())
+    found = None
+    for _ in range(most + 1):
+        lead = rest.groupBy("hash").agg(F.min(F.struct("repo", "likeness")).alias("lead"))
+        one = lead.select("hash", F.lit(1).alias("owners"))
+        found = one if found is None else found.unionByName(one)
+        near = (F.col("repo") == F.col("lead.repo")) & (F.bit_count(F.col("likeness").bitwiseXOR(F.col("lead.likeness"))) <= NEAR)
+        rest = cut(rest.join(lead, "hash").filter(~near).drop("lead"))
+    return found.groupBy("hash").agg(F.sum("owners").alias("owners"))
 
 
 def scan(docs: DataFrame, repo: str = "source", owner: str = "doc_id", most_owners: int = 3, least_bits: float = 3.0) -> DataFrame:
     """All columns of docs but text, with base and added (arrays of spans: start, kind, end, value, and for added verdict).
 
     A row that repeats keeps its place; null text is empty; a long text is one row as any other. Columns of docs named base,
-    bare, added, n_live, n_example, __row are replaced. Live: owned by most_owners at most, with least_bits of entropy a character or more.
+    bare, added, n_live, n_example, __row, __h, __like are replaced. Live: owned by most_owners at most, with least_bits of entropy a character or more.
     n_live and n_example count the row's distinct candidate values by verdict.
     """
-    docs = docs.drop("base", "bare", "added", "n_live", "n_example", "__row")
+    docs = docs.drop("base", "bare", "added", "n_live", "n_example", "__row", "__h", "__like")
     text = F.coalesce("text", F.lit(""))
     base = F.array_sort(F.concat(*[spans_of(text, i, p, g, n) for i, (_, p, g, n) in enumerate(BASE)]))
     mixed = lambda s: s.value.rlike("[0-9]") & s.value.rlike("[A-Za-z]")
     bare = F.filter(spans_of(text, len(BASE), *BARE[1:]), mixed)
-    found = docs.withColumns({"base": base, "bare": bare, "__row": F.monotonically_increasing_id()}).drop("text")
+    found = docs.withColumns({"base": base, "bare": bare, "__row": F.monotonically_increasing_id()})
+    some = (F.size("base") > 0) | (F.size("bare") > 0)
+    found = found.withColumn("__h", F.when(some, shingle_hashes(text, 3))).withColumn("__like", F.when(some, F.when(F.size("__h") > 0, simhash("__h")).otherwise(F.xxhash64(text)))).drop("text", "__h")
     clear = F.filter("bare", lambda b: ~F.exists("base", lambda s: (s.start < b.end) & (b.start < s.end)))
     found = cut(found.withColumn("bare", clear))
     each = found.filter((F.size("base") > 0) | (F.size("bare") > 0)).select(
-        "__row", F.col(f"`{repo}`").alias("repo"), F.col(f"`{owner}`").alias("owner"), F.explode(F.concat("base", "bare")).alias("s")
+        "__row", F.col(f"`{repo}`").alias("repo"), F.col(f"`{owner}`").alias("owner"), F.col("__like").alias("likeness"), F.explode(F.concat("base", "bare")).alias("s")
     )
     each = each.withColumn("hash", F.sha2("s.value", 256))
-    judged = each.join(ownership(each), "hash")
+    judged = each.join(ownership(each, most_owners), "hash")
     live = (F.col("owners") <= most_owners) & (entropy(F.col("s.value")) >= least_bits)
     judged = judged.withColumn("live", live)
     by_row = judged.groupBy("__row").agg(
@@ -89,7 +101,7 @@ def scan(docs: DataFrame, repo: str = "source", owner: str = "doc_id", most_owne
         F.size(F.collect_set(F.when(F.col("live"), F.col("hash")))).cast("long").alias("n_live"),
         F.size(F.collect_set(F.when(~F.col("live"), F.col("hash")))).cast("long").alias("n_example"),
     )
-    out = found.join(by_row, "__row", "left").drop("__row", "bare")
+    out = found.join(by_row, "__row", "left").drop("__row", "bare", "__like")
     nothing = F.array().cast(found.schema["base"].dataType)
     zero = F.lit(0).cast("long")
     return out.withColumns({"added": F.coalesce("added", nothing), "n_live": F.coalesce("n_live", zero), "n_example": F.coalesce("n_example", zero)})
