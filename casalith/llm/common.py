@@ -48,10 +48,6 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def total_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def power_of_two(x: float, least: int, most: int) -> int:
     """The least power of two that is x or more, within [least, most]."""
     n = least

@@ -2,7 +2,7 @@
 
 Labels are of documents, so tokens get theirs from the corpus: words and word beginnings that are far more frequent in documents
 labelled toxic make a lexicon, and its tokens in those documents are the toxic ones. A chain over them learns what such tokens
-weigh and how tags follow each other. Forward-backward marginals then give each document its score and the offending offsets.
+and such neighbours weigh and how tags follow each other. Forward-backward marginals then give each document its score and the offending offsets.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let
@@ -92,12 +92,15 @@ def _counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Model:
-    """Weights of features for the toxic tag, a bias, tag transitions (from, to), and the calibration of document scores."""
+    """Weights of features for the toxic tag, a bias, tag transitions (from, to), the calibration of document scores, and what it
+    weighs that the token before, or the one after, has a feature.
+    """
 
     weights: dict[str, float]
     bias: float
     moves: np.ndarray
     calibration: tuple[float, float, float]
+    near: tuple[float, float] = (0.0, 0.0)
 
     def emission(self, token: str) -> float:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(token))
@@ -125,39 +128,43 @@ def marginals(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return odds / (1 + odds)
 
 
-def _train(chains: Counter, n_features: int, rounds: int = 150, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (the bias last) and moves by gradient ascent (Adam) on the likelihood of tags.
+def _train(f: np.ndarray, y: np.ndarray, count: np.ndarray, n_features: int, rounds: int = 150, l2: float = 1e-3, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (two of context and the bias last) and moves by gradient ascent (Adam) on the likelihood of tags, a block of stretches at a time.
 
-    chains: how often each (features of each position, -1 padded, 3 a position; tags) occurs, as bytes of int32. All have one length.
+    f: stretches x positions x features of the position (-1: none); y: tags; count: how often each stretch occurs.
     """
-    y = np.stack([np.frombuffer(c[1], np.int32) for c in chains])
-    f = np.stack([np.frombuffer(c[0], np.int32) for c in chains]).reshape(*y.shape, 3)
-    k, count = 3, np.fromiter(chains.values(), float, len(chains))
     share = count / count.sum()
-    theta, m1, m2 = np.zeros(n_features + 5), np.zeros(n_features + 5), np.zeros(n_features + 5)
-    theta[n_features] = -2.0
-    at = np.where(f < 0, n_features + 4, f)
+    n = n_features + 2
+    theta, m1, m2 = np.zeros(n + 5), np.zeros(n + 5), np.zeros(n + 5)
+    theta[n] = -2.0
+    at = np.where(f < 0, n + 4, f)
     for step in range(1, rounds + 1):
         w = theta.copy()
-        w[n_features + 4] = 0
-        moves = np.array([[0.0, w[n_features + 1]], [w[n_features + 2], w[n_features + 3]]])
-        e = w[at].sum(axis=2) + w[n_features]
-        p = marginals(e, moves)
+        w[n + 4] = 0
+        moves = np.array([[0.0, w[n + 1]], [w[n + 2], w[n + 3]]])
         g = np.zeros_like(theta)
-        rest = (y - p) * share[:, None]
-        np.add.at(g, at.reshape(-1), np.repeat(rest.reshape(-1), k))
-        g[n_features] = rest.sum()
-        t, x = np.exp(moves), np.exp(np.clip(e, -30, 30))
-        ahead, back = _messages(x, t)
-        a, b = ahead[:, :-1], x[:, 1:] * back[:, 1:]
-        z = t[0, 0] + t[0, 1] * b + t[1, 0] * a + t[1, 1] * a * b
-        for j, (got, seen) in enumerate((((t[0, 1] * b) / z, (1 - y[:, :-1]) * y[:, 1:]), ((t[1, 0] * a) / z, y[:, :-1] * (1 - y[:, 1:])), ((t[1, 1] * a * b) / z, y[:, :-1] * y[:, 1:]))):
-            g[n_features + 1 + j] = ((seen - got) * share[:, None]).sum()
+        for i in range(0, len(y), block):
+            _gradient(g, at[i : i + block], y[i : i + block], share[i : i + block], w, moves, n)
         g[:-1] -= l2 * theta[:-1] * (1 / len(share))
         g[-1] = 0
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         theta += 0.3 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    return theta[: n_features + 1], np.array([[0.0, theta[n_features + 1]], [theta[n_features + 2], theta[n_features + 3]]])
+    return theta[: n + 1], np.array([[0.0, theta[n + 1]], [theta[n + 2], theta[n + 3]]])
+
+
+def _gradient(g: np.ndarray, at: np.ndarray, y: np.ndarray, share: np.ndarray, w: np.ndarray, moves: np.ndarray, n: int) -> None:
+    """Adds the gradient of some stretches to g."""
+    e = w[at].sum(axis=2) + w[n]
+    x, t = np.exp(np.clip(e, -30, 30)), np.exp(moves)
+    ahead, back = _messages(x, t)
+    odds = ahead * back
+    rest = (y - odds / (1 + odds)) * share[:, None]
+    np.add.at(g, at.reshape(-1), np.repeat(rest.reshape(-1), at.shape[2]))
+    g[n] += rest.sum()
+    a, b = ahead[:, :-1], x[:, 1:] * back[:, 1:]
+    z = t[0, 0] + t[0, 1] * b + t[1, 0] * a + t[1, 1] * a * b
+    for j, (got, seen) in enumerate((((t[0, 1] * b) / z, (1 - y[:, :-1]) * y[:, 1:]), ((t[1, 0] * a) / z, y[:, :-1] * (1 - y[:, 1:])), ((t[1, 1] * a * b) / z, y[:, :-1] * y[:, 1:]))):
+        g[n + 1 + j] += ((seen - got) * share[:, None]).sum()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,54 +172,92 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _draw(rows: DataFrame, sample: int) -> list:
-    """(text, toxic) of the rows whose id hashes lowest: ids are ranked first, so that only the sample's texts reach the driver."""
+def _draw(rows: DataFrame, sample: int, chars: int) -> DataFrame:
+    """The rows whose id hashes lowest: `sample` of them at most, and no more than hold so many code points; equal ids by text."""
     low = F.xxhash64(F.lit(5), "doc_id")
-    last = rows.select(low.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    return [] if last is None else rows.filter(low <= last).select("text", "toxic", low.alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).select("text", "toxic").collect()
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, stretch: int = 64) -> Model:
+    some = rows.select(low.alias("h"), F.length("text").alias("n")).orderBy("h", "n").limit(sample)
+    last = some.withColumn("all", F.sum("n").over(Window.orderBy("h", "n"))).filter(F.col("all") <= chars).agg(F.max("h")).first()[0]
+    return rows.filter(F.lit(False) if last is None else low <= last).orderBy(low, "doc_id", "text").limit(sample).select("text", "toxic")
+
+
+def _stretches(no: dict[str, int], stretch: int):
+    """Over rows (text, toxic): how often each stretch of tokens occurs, as (f, y, n) with f and y bytes of int32."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chains: Counter = Counter()
+        for b in batches:
+            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+                tokens = _WORD.findall(text.lower())
+                own = np.array([(*[no.get(x, -1) for x in features(t)], -1, -1)[:3] for t in tokens], np.int32).reshape(-1, 3)
+                has = (own >= 0).any(axis=1)
+                y = has & bool(toxic)
+                near = np.full((len(own), 2), -1, np.int32)
+                near[1:, 0][has[:-1]] = len(no)
+                near[:-1, 1][has[1:]] = len(no) + 1
+                pad = -len(own) % stretch
+                f = np.concatenate([np.concatenate([own, near], axis=1), np.full((pad, 5), -1, np.int32)])
+                y = np.concatenate([y, np.zeros(pad, bool)]).astype(np.int32)
+                for i in range(0, len(f), stretch):
+                    # most stretches are alike: none of their tokens has a feature
+                    chains[(f[i : i + stretch].tobytes(), y[i : i + stretch].tobytes())] += 1
+        yield pd.DataFrame({"f": [k[0] for k in chains], "y": [k[1] for k in chains], "n": list(chains.values())})
+
+    return of
+
+
+def _trainer(n_features: int):
+    """Over all (f, y, n): one row of the trained weights and moves."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["f", "y"])
+        if len(rows):
+            y = np.stack([np.frombuffer(x, np.int32) for x in rows["y"]])
+            f = np.stack([np.frombuffer(x, np.int32) for x in rows["f"]]).reshape(*y.shape, 5)
+            theta, moves = _train(f, y, rows["n"].to_numpy(float), n_features)
+            yield pd.DataFrame({"theta": [theta.tolist()], "moves": [moves.reshape(-1).tolist()]})
+
+    return of
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_chars: int = 20_000_000, stretch: int = 64) -> Model:
     """A model from the labelled rows that aren't held out.
 
-    The lexicon counts all of them. The chain is fitted to the tokens of a sample: at most `sample` documents of either label,
-    those whose id hashes lowest, whole, cut into stretches of 64 tokens. Rows whose label is null, and null texts, say nothing.
-    With no toxic row the model finds nothing toxic.
+    The lexicon counts all of them. The chain is fitted to the tokens of a sample: at most `sample` documents of either label and
+    sample_chars code points, those whose id hashes lowest, whole, cut into stretches of 64 tokens. Stretches are counted where
+    the texts are and the chain is trained in one task over the distinct ones; the driver gets the lexicon, the weights, and two
+    numbers of each document of the sample for calibration. A document with several labels is toxic if one says so. Rows whose
+    label is null, and null texts, say nothing. With no toxic row the model finds nothing toxic.
     """
-    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = F.broadcast(known) if known.count() <= MOST_BROADCAST_ROWS else known
     rows = cut(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).join(known, "doc_id"))
     lex = lexicon(rows)
     no = {f: i for i, f in enumerate(lex)}
+    nothing = Model({}, -10.0, np.zeros((2, 2)), (0.0, 0.0, -5.0))
     if not no:
-        return Model({}, -10.0, np.zeros((2, 2)), (0.0, 0.0, -5.0))
-    drawn = [r for t in (0, 1) for r in _draw(rows.filter(F.col("toxic") == t), sample)]
-    chains: Counter = Counter()
-    for text, toxic in drawn:
-        known_at, tokens = [], _WORD.findall(text.lower())
-        for t in tokens:
-            known_at.append((*[no.get(f, -1) for f in features(t)], -1, -1)[:3])
-        f = np.array(known_at, np.int32).reshape(-1, 3)
-        y = (f >= 0).any(axis=1) & bool(toxic)
-        pad = -len(f) % stretch
-        f, y = np.concatenate([f, np.full((pad, 3), -1, np.int32)]), np.concatenate([y, np.zeros(pad, bool)]).astype(np.int32)
-        for i in range(0, len(f), stretch):
-            # most stretches are alike: none of their tokens has a feature
-            chains[(f[i : i + stretch].tobytes(), y[i : i + stretch].tobytes())] += 1
-    if not chains:
-        return Model({}, -10.0, np.zeros((2, 2)), (0.0, 0.0, -5.0))
-    theta, moves = _train(chains, len(no))
-    model = Model({f: float(theta[i]) for f, i in no.items()}, float(theta[-1]), moves, (0.0, 0.0, 0.0))
-    return Model(model.weights, model.bias, moves, _calibrate(model, drawn))
-
-
-def _calibrate(model: Model, docs: list) -> tuple[float, float, float]:
-    """Logistic weights of (log1p of expected toxic tokens, largest marginal) and an intercept, by Newton steps. docs: (text, label)."""
-    found = []
-    for at in range(0, len(docs), 300):
-        found += [s for s, _ in score_tokens(model, [_WORD.findall(d[0].lower()) for d in docs[at : at + 300]])]
-    x = np.array([[np.log1p(s[0]), s[1], 1.0] for s in found])
-    y = np.array([d[1] for d in docs], float)
+        return nothing
+    drawn = [_draw(rows.filter(F.col("toxic") == t), sample, sample_chars) for t in (0, 1)]
+    drawn = cut(drawn[0].unionByName(drawn[1]).repartition(8, F.xxhash64("text")))
+    counted = drawn.mapInPandas(_stretches(no, stretch), "f binary, y binary, n long").groupBy("f", "y").agg(F.sum("n").alias("n"))
+    trained = counted.repartition(1).mapInPandas(_trainer(len(no)), "theta array<double>, moves array<double>").first()
+    if trained is None:
+        return nothing
+    theta, moves = trained["theta"], np.array(trained["moves"]).reshape(2, 2)
+    model = Model({f: theta[i] for f, i in no.items()}, theta[-1], moves, (0.0, 0.0, 0.0), (theta[-3], theta[-2]))
+    return Model(model.weights, model.bias, moves, _calibrate(model, drawn), model.near)
+
+
+def _calibrate(model: Model, drawn: DataFrame) -> tuple[float, float, float]:
+    """Logistic weights of (log1p of expected toxic tokens, largest marginal) and an intercept, by Newton steps. drawn: (text, toxic)."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [s for at in range(0, len(b), 300) for s, _ in score_tokens(model, [_WORD.findall(t.lower()) for t in b["text"].iloc[at : at + 300]])]
+            yield pd.DataFrame({"a": [s[0] for s in found], "b": [s[1] for s in found], "toxic": b["toxic"].to_numpy()})
+
+    found = drawn.mapInPandas(sums, "a double, b double, toxic int").orderBy("a", "b", "toxic").collect()
+    x = np.array([[np.log1p(r[0]), r[1], 1.0] for r in found])
+    y = np.array([r[2] for r in found], float)
     w = np.zeros(3)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -267,9 +312,12 @@ def score_tokens(model: Model, docs: list[list[str]], block: int = 512, cells: i
         if not tokens:
             continue
         e = np.fromiter(map(memo.__getitem__, tokens), float, len(tokens))
-        if (e == model.bias).all():
+        has = e != model.bias
+        if not has.any():
             out[i] = (plain(len(e)), [])
         else:
+            e[1:] += model.near[0] * has[:-1]
+            e[:-1] += model.near[1] * has[1:]
             todo.append((i, e))
     todo.sort(key=lambda x: len(x[1]))
     while todo:

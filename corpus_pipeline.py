@@ -7,6 +7,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casalith.llm import decontaminate, mixing, sharding, similar, toxicity
 from casalith.llm.common import shared_dir, table
@@ -15,7 +16,8 @@ from casalith.llm.common import shared_dir, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic. It learns from the labelled rows among docs that aren't held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), toxicity.scores(F.col("text"), model).alias("s"))
+    return rows.filter(F.col("s.score") < 0.5).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: A classifier, fingerprints and a random shuffle have no SQL; tests hold each stage against a plain version.
+#: A classifier, fingerprints and a random shuffle have no SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
