@@ -3,7 +3,9 @@
 A window that is at all similar to an item shares a shingle with it. So the windows looked at are those that such a shared
 shingle lines up with an item, at every place where one occurs; all others have similarity 0. Each window and item gets a
 fingerprint. Fingerprints of 64 bits, cut into radius + 1 blocks, agree in one block at least if they differ in radius bits at
-most: the join on blocks loses no pair within the radius. What is left is compared shingle by shingle.
+most: pairs that agree in none go, and so do those over the radius; no pair within it is lost. What is left is compared shingle
+by shingle. At a similarity of 0.8 fingerprints differ in some 10 bits and up to 18, for which blocks have 3 or 4 bits and tell
+little apart on their own; the items that a window is paired with are therefore only those that a shingle lines up with it.
 """
 
 from __future__ import annotations
@@ -11,19 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, let
 
-#: A side of at most so many rows is broadcast (a row has some 40 bytes); a larger one is joined by shuffle.
+#: So many shingles of the benchmark are broadcast at most (a row has some 40 bytes); a larger benchmark is taken in blocks.
 MOST_BROADCAST_ROWS = 400_000
 WORDS = r"[\p{L}\p{N}]+"
 
 
 def shingle_hashes(text: Column, n: int = 5) -> Column:
-    """array<long>: hashes of all n-word shingles of the lower-cased text, in order; fewer words than n: none."""
+    """array<long>: hashes of all n-word shingles of the lower-cased text, in order; of fewer words: of the whole sequence; of none: empty."""
 
     def hashed(w):
         at = F.sequence(F.lit(0), F.size(w) - n)
-        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(*[w[i + j] for j in range(n)]))).otherwise(F.array().cast("array<long>"))
+        whole = F.array(F.xxhash64(F.size(w), F.array_join(w, " ")))
+        none = F.array().cast("array<long>")
+        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(*[w[i + j] for j in range(n)]))).when(F.size(w) > 0, whole).otherwise(none)
 
     return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0)), hashed)
 
@@ -41,14 +45,6 @@ def hamming_blocks(radius: int) -> list[tuple[int, int]]:
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
-def _blocks(fingerprint: Column, radius: int) -> Column:
-    return F.array(*[F.shiftright(fingerprint, at).bitwiseAND((1 << width) - 1) for at, width in hamming_blocks(radius)])
-
-
-def _checked(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_BROADCAST_ROWS else df
-
-
 def item_table(benchmark: DataFrame, n: int = 5) -> DataFrame:
     """(item_id, size, bag array<struct<sh, w, c>>, total, plain, hashes, fingerprint): one row per item with a shingle.
 
@@ -66,34 +62,48 @@ def item_table(benchmark: DataFrame, n: int = 5) -> DataFrame:
     return rows.join(bags, "item_id").select("item_id", F.size("hashes").alias("size"), "bag", total.alias("total"), "plain", "hashes", simhash("hashes").alias("fingerprint"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 18, n: int = 5) -> DataFrame:
+def _windows(docs: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text_key, start_word, window, item_id): a row for each place where a shingle lines a document up with an item."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), shingle_hashes(F.col("text"), n).alias("h"), F.least(words, F.lit(n)).alias("few")).filter(F.size("h") > 0)
+    # the join is broadcast, so a document's hashes stay where they are until the windows are cut from them
+    at = hashed.select("doc_id", "text_key", "h", "few", F.posexplode("h").alias("pos", "sh")).join(F.broadcast(anchors), "sh").select("*", F.explode("places").alias("p"))
+    start = F.greatest(F.col("pos") - F.col("p.item_pos"), F.lit(0))
+    end = F.least(F.col("pos") - F.col("p.item_pos") + F.col("p.size"), F.size("h"))
+    return at.select("doc_id", "text_key", "few", start.alias("start_word"), F.slice("h", start + 1, end - start).alias("window"), "p.item_id")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 18, n: int = 5, block: int = MOST_BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_key, item_id, start_word, n_words, hamming, similarity): each document and item alike, by its best window.
 
-    Similarity is the weighted Jaccard of shingle bags; shingles that the item lacks weigh as one that a single item has. Items
-    of fewer than n words carry no evidence and match nothing, and so do null and empty texts. Rows alike in doc_id and text
-    give one result. Of windows that are equally similar the first counts. Extra columns are ignored.
+    Similarity is the weighted Jaccard of shingle bags; shingles that the item lacks weigh as one that a single item has. An item,
+    or a text, of fewer than n words is one shingle, its whole sequence, so such an item matches texts of just its words. Items and
+    texts without words match nothing, and so do null ones. Rows alike in doc_id and text give one result. Of windows that are
+    equally similar the first counts. Extra columns are ignored.
+
+    A benchmark with more than `block` shingles is taken in blocks of so many, each broadcast to a pass over docs.
     """
-    items = item_table(benchmark, n)
-    anchors = items.select("item_id", "size", F.posexplode("hashes").alias("item_pos", "sh")).groupBy("sh", "size", "item_pos").agg(F.count("*").alias("k")).drop("k")
-    n_items, n_anchors = (items.count(), anchors.count())
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), shingle_hashes(F.col("text"), n).alias("h")).filter(F.size("h") > 0)
-    at = hashed.select("doc_id", "text_key", "h", F.posexplode("h").alias("pos", "sh")).join(_checked(anchors, n_anchors), "sh")
-    start = F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0))
-    end = F.least(F.col("pos") - F.col("item_pos") + F.col("size"), F.size("h"))
-    windows = at.select("doc_id", "text_key", "size", start.alias("start_word"), F.slice("h", start + 1, end - start).alias("window"))
+    spark = docs.sparkSession
+    items = cut(item_table(benchmark, n))
+    shingles = items.select("item_id", "size", F.posexplode("hashes").alias("item_pos", "sh"))
+    blocks = max(1, -(-shingles.count() // block))
+    found = None
+    for i in range(blocks):
+        # a shingle's places all lie in one block
+        some = shingles if blocks == 1 else shingles.filter(F.pmod(F.xxhash64("sh"), F.lit(blocks)) == i)
+        one = _windows(docs, some.groupBy("sh").agg(F.collect_list(F.struct("item_id", "item_pos", "size")).alias("places")), n)
+        found = one if found is None else found.unionByName(one)
     # clipped windows of other raw starts may share a start: both count
-    windows = windows.withColumn("len", F.size("window")).groupBy("doc_id", "text_key", "size", "start_word", "len").agg(F.max("window").alias("window")).drop("len")
-    windows = windows.withColumn("f", simhash("window"))
-    left = windows.select("*", F.posexplode(_blocks(F.col("f"), radius)).alias("block", "value"))
-    right = items.select("item_id", "size", "bag", "total", "plain", "fingerprint", F.posexplode(_blocks(F.col("fingerprint"), radius)).alias("block", "value"))
-    pairs = left.join(_checked(right, n_items * (radius + 1)), ["size", "block", "value"])
+    key = ["doc_id", "text_key", "start_word", "size", "item_id"]
+    pairs = found.withColumn("size", F.size("window")).groupBy(*key).agg(F.max("window").alias("window"), F.max("few").alias("few"))
+    # as many tasks as the session has partitions: the few bytes of windows take long to compare
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).drop("size")
+    pairs = pairs.withColumn("f", F.coalesce(simhash("window"), F.lit(0).cast("long"))).join(items.select("item_id", "bag", "total", "plain", "fingerprint"), "item_id")
     x = F.col("f").bitwiseXOR(F.col("fingerprint"))
-    # a pair that agrees in several blocks counts at the first of them
-    earlier = [F.when(F.col("block") > i, F.shiftright(x, at).bitwiseAND((1 << width) - 1) != 0).otherwise(True) for i, (at, width) in enumerate(hamming_blocks(radius))]
-    once = earlier[0]
-    for c in earlier[1:]:
-        once = once & c
-    pairs = pairs.withColumn("hamming", F.bit_count(x)).filter((F.col("hamming") <= radius) & once)
+    agree = F.lit(False)
+    for at, width in hamming_blocks(radius):
+        agree = agree | (F.shiftright(x, at).bitwiseAND((1 << width) - 1) == 0)
+    pairs = pairs.filter(agree).withColumn("hamming", F.bit_count(x)).filter(F.col("hamming") <= radius)
     shared = F.transform("bag", lambda s: F.struct(s.w.alias("w"), s.c.alias("c"), F.size(F.filter("window", lambda y: y == s.sh)).alias("in")))
     pairs = pairs.withColumn("shared", shared)
     both = F.aggregate("shared", F.lit(0.0), lambda a, s: a + s.w * F.least(s.c, s["in"].cast("long")))
@@ -103,7 +113,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
     pairs = pairs.withColumn("similarity", F.round(F.col("both") / (F.col("either") - F.col("both")), 6)).filter(F.col("similarity") >= least)
     best = pairs.groupBy("doc_id", "text_key", "item_id").agg(
         F.min_by(
-            F.struct("start_word", (F.size("window") + n - 1).alias("n_words"), "hamming", "similarity"), F.struct(-F.col("similarity"), F.col("start_word"), F.size("window"))
+            F.struct("start_word", (F.size("window") + F.col("few") - 1).alias("n_words"), "hamming", "similarity"), F.struct(-F.col("similarity"), F.col("start_word"), F.size("window"))
         ).alias("b")
     )
     return best.select("doc_id", "text_key", "item_id", "b.*")
@@ -124,26 +134,26 @@ OP4_SQL = r"""
 WITH dw AS (
   SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
-d AS (SELECT doc_id, hash(text) AS t, len(w) - 4 AS n, unnest(range(len(w) - 4)) AS pos, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS sh
-      FROM dw WHERE len(w) >= 5),
-i AS (SELECT item_id, len(w) - 4 AS size, unnest(range(len(w) - 4)) AS pos, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS sh
-      FROM iw WHERE len(w) >= 5),
+d AS (SELECT doc_id, hash(text) AS t, greatest(len(w) - 4, 1) AS n, least(len(w), 5) AS few, unnest(range(greatest(len(w) - 4, 1))) AS pos, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS sh
+      FROM dw WHERE len(w) > 0),
+i AS (SELECT item_id, greatest(len(w) - 4, 1) AS size, unnest(range(greatest(len(w) - 4, 1))) AS pos, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS sh
+      FROM iw WHERE len(w) > 0),
 bag AS (SELECT item_id, any_value(size) AS size, sh, count(*) AS c FROM i GROUP BY item_id, sh),
 n AS (SELECT count(DISTINCT item_id) AS items FROM i),
 w AS (SELECT sh, ln(1 + (SELECT items FROM n) / count(*)) AS w FROM bag GROUP BY sh),
 total AS (SELECT item_id, sum(w * c) AS total FROM bag JOIN w USING (sh) GROUP BY item_id),
 win AS (
-  SELECT DISTINCT doc_id, t, n, item_id, size, greatest(d.pos - i.pos, 0) AS a, least(d.pos - i.pos + size, n) AS b FROM d JOIN i USING (sh)),
+  SELECT DISTINCT doc_id, t, n, few, item_id, size, greatest(d.pos - i.pos, 0) AS a, least(d.pos - i.pos + size, n) AS b FROM d JOIN i USING (sh)),
 inside AS (
-  SELECT win.doc_id, win.t, win.item_id, a, b, bag.sh, w.w, bag.c, count(*) AS k
+  SELECT win.doc_id, win.t, win.few, win.item_id, a, b, bag.sh, w.w, bag.c, count(*) AS k
   FROM win JOIN d ON d.doc_id IS NOT DISTINCT FROM win.doc_id AND d.t = win.t AND d.pos >= a AND d.pos < b
   JOIN bag ON bag.item_id = win.item_id AND bag.sh = d.sh JOIN w ON w.sh = bag.sh
   GROUP BY ALL),
 score AS (
-  SELECT doc_id, t, item_id, a, b, sum(w * least(c, k)) AS shared, sum(w * k) AS known, sum(k) AS ks FROM inside GROUP BY ALL),
+  SELECT doc_id, t, few, item_id, a, b, sum(w * least(c, k)) AS shared, sum(w * k) AS known, sum(k) AS ks FROM inside GROUP BY ALL),
 sim AS (
-  SELECT doc_id, t, item_id, a, b, round(shared / (total + known + ln(1 + (SELECT items FROM n)) * (b - a - ks) - shared), 6) AS similarity
+  SELECT doc_id, t, few, item_id, a, b, round(shared / (total + known + ln(1 + (SELECT items FROM n)) * (b - a - ks) - shared), 6) AS similarity
   FROM score JOIN total USING (item_id)),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t, item_id ORDER BY similarity DESC, a) AS r FROM sim WHERE similarity >= 0.8)
-SELECT doc_id, item_id, a::INT AS start_word, (b - a + 4)::INT AS n_words, similarity FROM best WHERE r = 1
+SELECT doc_id, item_id, a::INT AS start_word, (b - a + few - 1)::INT AS n_words, similarity FROM best WHERE r = 1
 """
