@@ -18,14 +18,20 @@ from .common import cut
 
 #: Fixed values of the contract: kinds in their order and their patterns.
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A local part is looked for from its first character only, and taken whole, so that long runs are read once.
+_LOCAL = "[A-Za-z0-9._%+-]"
+_DOMAIN = r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+_EMAIL = re.compile(f"(?<!{_LOCAL}){_LOCAL}++{_DOMAIN}")
+_EMAIL_HERE = re.compile(f"{_LOCAL}++{_DOMAIN}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 #: An instance: a token that could name someone, and the two words before it.
-_TOKEN = re.compile(r"[^\s,;:!?\"'<>()\[\]]*[0-9@][^\s,;!?\"'<>()\[\]]*")
+_TOKEN = re.compile(r"[^\s,;!?\"'<>()\[\]]+")
+_NAMES = re.compile("[0-9@]")
 _BEFORE = re.compile(r"([^\W\d_]+)[^\w]*\s+([^\W\d_]+)[\s:=#\"'(\[-]*$")
+#: The two words are looked for in so many code points before an instance; that bounds a pattern, not the text.
 REACH = 60
 
 
@@ -42,11 +48,27 @@ def _low(part: str) -> bool:
     return len(part) < 4 and int(part or 0) <= 255
 
 
+def emails(text: str) -> Iterator[re.Match]:
+    """Leftmost non-overlapping e-mail addresses; the next one may start where the last one ended, within a run."""
+    at = 0
+    while m := (_EMAIL_HERE.match(text, at) if at else None) or _EMAIL.search(text, at):
+        yield m
+        at = m.end()
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """[start, end) of tokens with a digit or @; what stands before a colon that comes before those is no part of it."""
+    for m in _TOKEN.finditer(text):
+        a, b = m.span()
+        if hit := _NAMES.search(text, a, b):
+            yield max(a, text.rfind(":", a, hit.start()) + 1), b
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) in code points, by kind, then start: leftmost non-overlapping matches, failing ones dropped."""
     out = []
     if "@" in text:
-        out += [(0, *m.span()) for m in _EMAIL.finditer(text)]
+        out += [(0, *m.span()) for m in emails(text)]
     if _DIGIT.search(text):
         out += [(1, *m.span()) for m in _IP.finditer(text) if all(map(_low, m.group().split(".")))]
         for m in _CARD.finditer(text):
@@ -71,8 +93,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     taken = sorted((a, b) for _, a, b in base)
     at = 0
     if "@" in text or _DIGIT.search(text):
-        for m in _TOKEN.finditer(text):
-            a, b = m.span()
+        for a, b in tokens(text):
             b = a + len(text[a:b].rstrip(".-"))
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
