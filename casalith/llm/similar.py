@@ -2,8 +2,8 @@
 
 SimHash fingerprints within 3 bits, found by the pivot tables of simhash, are candidates. At a Jaccard similarity of 0.8 two
 64-bit fingerprints differ in 10 bits on average, which no index over 3 bits finds; so equal bands of min-hashes give the other
-candidates. All candidates are verified by their exact shingle sets: first by a few pairs of each bucket, then, where these leave a
-bucket in several groups, by every pair of texts that no link has joined yet.
+candidates. All candidates are verified by their shingle sets (64 bits a shingle): first by two pairs of each text in a bucket,
+then, where these leave a bucket in several groups, by every pair of texts that no link has joined yet.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -55,12 +55,12 @@ def _sketches(text: Column, n: int) -> Column:
 
 
 def shingle_sets(text: Column, n: int) -> Column:
-    """array<int>: 32 bits of each distinct shingle's hash."""
+    """array<long>: the hash of each distinct shingle."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.unique(hashes(t, n).astype(np.uint32)).view(np.int32) for t in texts])
+            yield pd.Series([np.unique(hashes(t, n)).view(np.int64) for t in texts])
 
     return of(text)
 
@@ -132,10 +132,10 @@ def _rest_links(each: DataFrame, found: DataFrame, sets: DataFrame, least: float
 
     In buckets of three or fewer all pairs were compared before; buckets within one group need nothing more.
     """
-    key = Window.partitionBy("band", "value")
-    rooted = each.filter("n > 3").select("k", "band", "value").join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    open_ = rooted.withColumns({"low": F.min("root").over(key), "high": F.max("root").over(key)}).filter("low < high").select("k", "band", "value", "root")
-    sized = open_.join(sets.select("k", F.size("set").alias("size")), "k").withColumn("total", F.sum("size").over(key))
+    rooted = cut(each.filter("n > 3").select("k", "band", "value").join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")))
+    several = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "value")
+    sized = cut(rooted.join(several, ["band", "value"]).join(sets.select("k", F.size("set").alias("size")), "k"))
+    sized = sized.join(sized.groupBy("band", "value").agg(F.sum("size").alias("total")), ["band", "value"])
     parts = F.greatest(F.ceil(F.col("total") / (CELL_SHINGLES // 2)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("k"), parts).cast("int")
     pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
@@ -145,43 +145,52 @@ def _rest_links(each: DataFrame, found: DataFrame, sets: DataFrame, least: float
 
 
 def groups(docs: DataFrame, n: int = 5, least: float = 0.8) -> DataFrame:
-    """(text_key, root): every distinct text with the least key of its group; text_key is xxhash64 of the text.
+    """(text_key, check, root): every distinct text with the least key of its group; text_key and check are hashes of the text.
 
     Texts meet in buckets: of equal bands (a pair of similar texts meets in about eight of the 24), and of fingerprints that
-    links within the radius connect. In a bucket each text is compared with the first and with its neighbours in order of key;
-    where that leaves several groups, all other pairs between them are compared too. Null counts as a text of its own, and texts
-    without words are alike.
+    links within the radius connect. In a bucket each text is compared with the least and the greatest key; where that leaves
+    several groups, all other pairs between them are compared too. A bucket's numbers are aggregates, joined back to it, so a
+    bucket that a third of all texts share is no single task. Null counts as the empty text, and texts without words are alike.
+    Of two texts with one text_key, the one with the lesser check is compared, the other is in no row.
     """
-    rows = docs.select(F.xxhash64("text").alias("k"), _sketches(F.col("text"), n).alias("s")).select("k", "s.*")
-    nodes = cut(rows.groupBy("k").agg(F.first("f").alias("f"), F.first("bands").alias("bands")))
-    key = Window.partitionBy("band", "value")
+    rows = docs.select(*_text_keys(F.col("text")), _sketches(F.col("text"), n).alias("s"))
+    nodes = cut(rows.groupBy("k").agg(F.min(F.struct("check", "s.f", "s.bands")).alias("x")).select("k", "x.*"))
     near = components(fingerprint_links(nodes.select("f").distinct()))
     same = nodes.select("k", "f").join(near, nodes["f"] == near["node"], "left").select("k", F.lit(-1).alias("band"), F.coalesce("root", "f").alias("value"))
-    each = nodes.select("k", F.posexplode("bands").alias("band", "value")).unionByName(same)
-    each = cut(each.withColumns({"n": F.count("*").over(key), "first": F.min("k").over(key), "last": F.lag("k").over(key.orderBy("k"))}).filter("n > 1"))
+    each = cut(nodes.select("k", F.posexplode("bands").alias("band", "value")).unionByName(same))
+    shared = each.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("k").alias("last")).filter("n > 1")
+    each = cut(each.join(shared, ["band", "value"]))
     pairs = each.select("k", F.explode(F.array("first", "last")).alias("o")).filter("o <> k")
     pairs = cut(pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct())
     need = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    texts = docs.select(F.xxhash64("text").alias("k"), "text").join(need, "k", "left_semi").dropDuplicates(["k"])
+    texts = docs.select(*_text_keys(F.col("text")), "text").join(need.join(nodes.select("k", "check"), "k"), ["k", "check"], "left_semi").dropDuplicates(["k"])
     sets = cut(texts.select("k", shingle_sets(F.col("text"), n).alias("set")))
     both = pairs.join(sets.select(F.col("k").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("k").alias("a"), F.col("set").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.filter((common >= least * (F.size("x") + F.size("y") - common)) | ((F.size("x") == 0) & (F.size("y") == 0)))
     found = components(alike.select("a", "b"))
     joined = components(_rest_links(each, found, sets, least)).select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-    rooted = nodes.join(found, nodes["k"] == found["node"], "left").select(F.col("k").alias("text_key"), F.coalesce("root", "k").alias("root"))
-    return rooted.join(joined, rooted["root"] == joined["__n"], "left").select("text_key", F.coalesce("__r", "root").alias("root"))
+    rooted = nodes.join(found, nodes["k"] == found["node"], "left").select(F.col("k").alias("text_key"), "check", F.coalesce("root", "k").alias("root"))
+    return rooted.join(joined, rooted["root"] == joined["__n"], "left").select("text_key", "check", F.coalesce("__r", "root").alias("root"))
+
+
+def _text_keys(text: Column) -> tuple[Column, Column]:
+    """k and check: two hashes of a text, 128 bits in all; null is the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text).alias("k"), F.xxhash64(F.lit(1), text).alias("check")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the least doc_id (null last), of these the least text key.
 
-    Columns and all other rows stay as they are; of rows alike in doc_id and text one stays. Texts move once.
+    Columns and all other rows stay as they are. Of rows alike in doc_id and text one stays, that with the least hash of all its
+    columns. Null and empty texts are one group. Texts move once.
     """
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
-    named = keyed.join(groups(docs, **options), "text_key")
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("b"))
-    stay = best.select(F.col("b.doc_id").alias("__d"), F.col("b.text_key").alias("__k"))
-    rows = docs.withColumn("__t", F.xxhash64("text"))
-    kept = rows.join(stay, (rows["__t"] == stay["__k"]) & rows["doc_id"].eqNullSafe(stay["__d"]), "left_semi")
-    return kept.dropDuplicates(["__t"]).drop("__t")
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("w")
+    keyed = docs.select("doc_id", *_text_keys(F.col("text")), whole)
+    found = groups(docs, **options).select(F.col("text_key").alias("k"), F.col("check").alias("own"), "root")
+    # a text that shares only its first hash with the one compared is a group of its own
+    named = keyed.join(found, "k").withColumn("other", F.when(F.col("check") != F.col("own"), F.col("check")))
+    best = named.groupBy("root", "other").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "check", "w")).alias("b"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_text_keys(F.col("text")), whole)
+    return rows.join(best.select("b.k", "b.check", "b.w"), ["k", "check", "w"], "left_semi").dropDuplicates(["k", "check"]).select("row.*")
