@@ -1,12 +1,15 @@
 """SimHash near-duplicates: pivot distance tables discard pairs of fingerprints, exact distances verify the rest.
 
-Pairs come from multi-index keys: 64 bits lie in 6 blocks, and two fingerprints that differ in 3 bits at most agree in 3 of them.
-Within a key, the Hamming distances to many reference fingerprints bound the distance of two fingerprints from below by the
-largest difference of a coordinate, so most pairs go without a look at the fingerprints themselves.
+A fingerprint's coordinates are its Hamming distances to many reference fingerprints. Two fingerprints within the radius differ by
+no more than it in any coordinate. So the first coordinates deal fingerprints into cells: each halves a cell at a threshold, and
+what lies within the radius below it goes to both sides. Pairs that share no cell are discarded by a coordinate without being
+formed. In a cell, pairs that agree in 3 of 6 bit blocks, as all within 3 bits do, are discarded by the largest difference over
+further coordinates, and the exact distance verifies what is left.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -14,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -22,9 +25,14 @@ from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
-#: A key with more fingerprints than this is compared in cells of this many; every two meet in one cell.
-CELL = 4096
-_PIVOTS = np.random.default_rng(2024).integers(0, 2**64, 24, dtype=np.uint64)
+#: A cell is wanted to hold about 1/16 of all fingerprints, within these bounds; one with over twice as many is compared in parts.
+LEAST_CELL, MOST_CELL = 64, 1 << 20
+#: By how much a coordinate shrinks the cell of a fingerprint, as the logarithm; its copies grow by a quarter.
+SHRINK = 0.42
+_REFERENCES = np.random.default_rng(2024).integers(0, 2**64, 88, dtype=np.uint64)
+#: References of the coordinates that make cells, and of those that discard pairs in a cell.
+_DEALERS, _PIVOTS = _REFERENCES[24:], _REFERENCES[:24]
+_MASKS = np.array([sum(((1 << width) - 1) << at for at, width in some) for some in combinations(BLOCKS, 3)], np.uint64)
 
 
 def hashes(text: str | None, n: int) -> np.ndarray:
@@ -63,19 +71,6 @@ def fingerprints(text: Column, n: int = SHINGLE) -> Column:
     return of(text)
 
 
-def _keys(f: Column) -> Column:
-    """The 20 keys of a fingerprint: which 3 of the 6 blocks, and their bits."""
-    part = lambda at, width: F.shiftright(f, at).bitwiseAND((1 << width) - 1)
-    out = []
-    for no, some in enumerate(combinations(BLOCKS, 3)):
-        key, used = F.lit(no).cast("long"), 5
-        for at, width in some:
-            key = F.shiftleft(key, width).bitwiseOR(part(at, width))
-            used += width
-        out.append(key)
-    return F.array(*out)
-
-
 def _near(f: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs (i, j) are within the radius: by the pivot table first, then by themselves."""
     ok = np.flatnonzero(np.abs(p[i] - p[j]).max(axis=1) <= RADIUS)
@@ -97,57 +92,92 @@ def _group_links(f: np.ndarray, p: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, part, f) in order of key and part: links (a, b) of each group."""
-
-    def linked(f: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-        p = np.bitwise_count(f[:, None] ^ _PIVOTS[None, :]).astype(np.int8)
+def _cell_links(f: np.ndarray) -> np.ndarray:
+    """Links (rows a, b) that connect what is connected among the fingerprints of a cell."""
+    found = []
+    for mask in _MASKS:
+        order = np.argsort(f & mask, kind="stable")
+        g, key = f[order], (f & mask)[order]
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(g)]])
         size = np.diff(cuts)
-        a, b = [], []
-        small = np.repeat(size, size) <= 16
-        where = np.repeat(np.arange(len(size)), size)
+        shared = np.repeat(size > 1, size)
+        if not shared.any():
+            continue
+        # only what shares its blocks gets coordinates
+        g, size = g[shared], size[size > 1]
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        p = np.bitwise_count(g[:, None] ^ _PIVOTS[None, :]).astype(np.int8)
+        small, where = np.repeat(size, size) <= 16, np.repeat(np.arange(len(size)), size)
         for d in range(1, 16):
-            i = np.flatnonzero(small[:-d] & (where[:-d] == where[d:])) if len(f) > d else np.empty(0, np.int64)
+            i = np.flatnonzero(small[:-d] & (where[:-d] == where[d:])) if len(g) > d else np.empty(0, np.int64)
             if not len(i):
                 break
-            ok = i[_near(f, p, i, i + d)]
-            a.append(ok), b.append(ok + d)
+            ok = i[_near(g, p, i, i + d)]
+            found.append(np.stack([g[ok], g[ok + d]]))
         for s, e in zip(cuts[:-1][size > 16], cuts[1:][size > 16], strict=True):
-            if got := _group_links(f[s:e], p[s:e]):
-                x = np.array(got) + s
-                a.append(x[:, 0]), b.append(x[:, 1])
-        at = (np.concatenate(a) if a else np.empty(0, np.int64), np.concatenate(b) if b else np.empty(0, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(f[x].view(np.int64)) for x in at], names=["a", "b"])
+            if got := _group_links(g[s:e], p[s:e]):
+                found.append(g[s:e][np.array(got).T])
+    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.uint64)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (cell, part, f) in order of cell and part: links (a, b) of each."""
+
+    def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
+        got = _cell_links(np.concatenate(rows).view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got], names=["a", "b"])
 
     kept: list[np.ndarray] = []
+    last = None
     for batch in batches:
-        rows = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
-        rows = np.concatenate([*kept, rows], axis=1)
-        ends = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-        if not len(ends):
-            kept = [rows]
-            continue
-        yield linked(rows[2, : ends[-1]].view(np.uint64).copy(), np.concatenate([[0], ends]))
-        kept = [rows[:, ends[-1] :]]
-    if kept and kept[0].shape[1]:
-        yield linked(kept[0][2].view(np.uint64).copy(), np.array([0, kept[0].shape[1]]))
+        cell, part, f = (np.asarray(batch.column(i)).astype(np.int64) for i in range(3))
+        ends = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0)) + 1
+        for s, e in zip([0, *ends.tolist()], [*ends.tolist(), len(f)], strict=True):
+            if s == e:
+                continue
+            if kept and (cell[s], part[s]) != last:
+                yield linked(kept)
+                kept = []
+            kept.append(f[s:e].copy())
+            last = (cell[s], part[s])
+    if kept:
+        yield linked(kept)
+
+
+def cells(distinct: DataFrame, wanted: int) -> DataFrame:
+    """(cell, f): each fingerprint in the cells that its coordinates name, one at least; two within the radius share a cell.
+
+    A coordinate is cut at its mean over all fingerprints. What lies in the radius below the cut is on both sides of it.
+    """
+    n = distinct.count()
+    levels = min(len(_DEALERS), max(0, math.ceil(math.log(max(1, n) / wanted) / SHRINK)))
+    if not levels:
+        return distinct.select(F.lit(0).cast("long").alias("cell"), "f")
+    at = [F.bit_count(F.col("f").bitwiseXOR(F.lit(int(d) - (1 << 64) if d >= 1 << 63 else int(d)))) for d in _DEALERS[:levels].tolist()]
+    means = distinct.agg(*[F.avg(d) for d in at]).first()
+    coordinates = F.array(*[F.struct(d.alias("d"), F.lit(math.ceil(m)).alias("cut")) for d, m in zip(at, means, strict=True)])
+    low, high = (lambda a: F.transform(a, lambda c: c * 2)), (lambda a: F.transform(a, lambda c: c * 2 + 1))
+    deal = lambda a, x: F.when(x.d >= x.cut, high(a)).when(x.d < x.cut - RADIUS, low(a)).otherwise(F.concat(low(a), high(a)))
+    return distinct.select(F.explode(F.aggregate(coordinates, F.array(F.lit(0).cast("long")), deal)).alias("cell"), "f")
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links among distinct fingerprints (f long) that connect all that are connected by distances within the radius.
 
-    A fingerprint goes to 20 keys of 32 bits or so. Keys that only one has go at once. A key that more than CELL have is cut
-    into parts, and each pair of parts is a cell of its own; in a cell, fingerprints that are linked leave the search as soon
-    as they are found, so dense groups cost about as much as they have members.
+    Cells of one are left out. A cell that holds over twice what is wanted (fingerprints close to each other that no coordinate
+    tells apart) is cut into parts, and each pair of parts is compared by itself; there, fingerprints that are linked leave the
+    search as soon as they are found, so dense groups cost about as much as they have members. The table of such cells has at
+    most one row for each wanted number of rows.
     """
-    keyed = distinct.select("f", F.explode(_keys(F.col("f"))).alias("key"))
-    keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    parts = F.ceil(F.col("n") / (CELL // 2)).cast("int")
-    own = F.pmod(F.xxhash64("f"), parts).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
-    cells = keyed.select("key", "f", F.explode(F.when(F.col("n") <= CELL, F.array(F.lit(-1))).otherwise(pair)).alias("part"))
-    cells = cells.repartition("key", "part").sortWithinPartitions("key", "part", "f").select("key", F.col("part").cast("long").alias("part"), "f")
-    return cells.mapInArrow(_links, "a long, b long")
+    distinct = cut(distinct)
+    wanted = min(MOST_CELL, max(LEAST_CELL, distinct.count() // 16))
+    dealt = cells(distinct, wanted)
+    large = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * wanted)
+    parts = large.select("cell", F.ceil(F.col("n") / wanted).cast("int").alias("parts"))
+    named = dealt.join(F.broadcast(parts), "cell", "left").withColumn("own", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("own", j) * F.col("parts") + F.greatest("own", j))
+    each = named.select("cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(pair)).alias("part"), "f")
+    return each.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
