@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resolve import cut
+from .stored import cut
 
 
 def steps(edges: DataFrame, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
@@ -37,7 +37,6 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, per_node: int = 12
     """
     hops, reasons = max(1, min(4, hops)), []
     move = steps(edges, direction, kinds)
-    first = move.withColumn("__r", F.row_number().over(Window.partitionBy("src").orderBy("row_seq", "dst")))
 
     def with_aliases(nodes: DataFrame, depth: int) -> DataFrame:
         if merges is None:
@@ -47,10 +46,11 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, per_node: int = 12
         more = group.join(root, "canonical_id", "left_semi").select(F.col("m").alias("node"))
         return nodes.select("node").unionByName(more).distinct().withColumn("depth", F.lit(depth))
 
-    seen = cut(with_aliases(seeds, 0).limit(most_nodes))
+    seen = cut(with_aliases(seeds, 0).orderBy("node").limit(most_nodes))
     front, n = seen, seen.count()
     for h in range(1, hops + 1):
-        near = front.select("node").join(first, F.col("node") == F.col("src"))
+        # only the front's edges are ranked
+        near = front.select("node").join(move, F.col("node") == F.col("src")).withColumn("__r", F.row_number().over(Window.partitionBy("src").orderBy("row_seq", "dst", "id")))
         if near.filter(F.col("__r") > per_node).limit(1).count():
             reasons.append("per_node")
         new = near.filter(F.col("__r") <= per_node).groupBy(F.col("dst").alias("node")).agg(F.min("row_seq").alias("at")).join(seen.select("node"), "node", "left_anti")
@@ -58,7 +58,7 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, per_node: int = 12
         if n + found > most_nodes:
             reasons.append("nodes")
             new = new.orderBy("at", "node").limit(max(0, most_nodes - n))
-        front = cut(with_aliases(new, h).join(seen.select("node"), "node", "left_anti").limit(max(0, most_nodes - n)))
+        front = cut(with_aliases(new, h).join(seen.select("node"), "node", "left_anti").orderBy("node").limit(max(0, most_nodes - n)))
         seen, n = seen.unionByName(front), n + front.count()
         if not found or n >= most_nodes:
             break
@@ -75,16 +75,15 @@ def touching(edges: DataFrame, members: DataFrame) -> DataFrame:
     return one("from_entity").unionByName(one("to_entity")).dropDuplicates(["id"])
 
 
-def closure(roots: DataFrame, parents: DataFrame, most: int = 64) -> DataFrame:
-    """(id): roots (id) and all their descendants by parents (parent_id, id), however deep; cycles end it."""
-    links = parents.select("parent_id", "id").distinct()
+def closure(roots: DataFrame, parents: DataFrame) -> DataFrame:
+    """(id): roots (id) and all their descendants by parents (parent_id, id), however deep; it ends when a step finds nothing new, so cycles end it."""
+    links = cut(parents.select("parent_id", "id").distinct())
     seen = front = cut(roots.select("id").distinct())
-    for _ in range(most):
+    while True:
         front = cut(links.join(front.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").distinct().join(seen, "id", "left_anti"))
         if not front.limit(1).count():
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return seen
+        seen = cut(seen.unionByName(front))
 
 
 def merge_boards(boards: DataFrame, most_nodes: int = 300) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resolve import cut
+from .stored import cut
 
 
 def artifact_rows(artifacts: DataFrame, derivations: DataFrame, captures: DataFrame, observations: DataFrame) -> DataFrame:
@@ -63,7 +63,9 @@ def preview(observations: DataFrame, most_bytes: int = 2_000_000, most_rows: int
 
 
 def chain_hash(previous: Column, *fields: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.coalesce(previous, F.lit("")), *[f.cast("string") for f in fields]), 256)
+    """Each field with its length before it, null as -1 and no text, so that no two different rows are hashed as one text."""
+    said = [F.concat(F.coalesce(F.octet_length(f.cast("string")), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(f.cast("string"), F.lit(""))) for f in (previous, *fields)]
+    return F.sha2(F.concat_ws("\x1f", *said), 256)
 
 
 def chain(events: DataFrame) -> DataFrame:
@@ -78,8 +80,8 @@ def chain(events: DataFrame) -> DataFrame:
             before, after = [], []
             for i, action in zip(b["id"].tolist(), b["action"].tolist(), strict=True):
                 before.append(last)
-                fields = [last or "", str(i)] + ([] if action is None else [action])
-                last = hashlib.sha256("\x1f".join(fields).encode()).hexdigest()
+                fields = (last, str(i), action)
+                last = hashlib.sha256("\x1f".join("-1:" if f is None else f"{len(f.encode())}:{f}" for f in fields).encode()).hexdigest()
                 after.append(last)
             yield b.assign(prev_hash=pd.Series(before, b.index, dtype=object), hash=after)
 

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again; where none is set (tests, one machine), to a new local one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="casalith-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .stored import cut
 
 
 def normalise_identifier(namespace: Column, value: Column) -> Column:
@@ -53,7 +40,7 @@ def active(decisions: DataFrame) -> DataFrame:
     return last.filter("action = 'merge'").select("left_entity", "right_entity")
 
 
-def merge_map(entities: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def merge_map(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """(entity_id, canonical_id) of all absorbed entities: within what accepted pairs connect, the oldest survives.
 
     entities: id, created_utc, row_seq; oldest by (created_utc, row_seq, id). The least of (age, neighbours' age) spreads until
@@ -63,7 +50,7 @@ def merge_map(entities: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFr
     both = pairs.select(F.col("left_entity").alias("a"), F.col("right_entity").alias("b")).unionByName(pairs.select(F.col("right_entity").alias("a"), F.col("left_entity").alias("b")))
     links = cut(both.distinct())
     now = cut(age.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_semi"))
-    for _ in range(rounds):
+    while True:
         seen = links.join(now.select(F.col("id").alias("b"), F.col("best").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         step = now.join(seen, "id", "left").select("id", F.least("best", F.coalesce("near", "best")).alias("best"))
         jump = step.join(step.select(F.struct("*").alias("s")).select(F.col("s.id").alias("root"), F.col("s.best").alias("far")), F.col("best.id") == F.col("root"), "left")

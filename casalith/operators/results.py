@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +19,7 @@ CONCLUSIVE, FRESH_SECONDS = ("found", "not_found", "taken", "available"), 8 * 36
 
 
 def project(results: DataFrame, artifacts: DataFrame, blobs: DataFrame) -> DataFrame:
-    """results with source, effective_outcome, readable and search_fields (variant).
+    """results with source, effective_outcome, readable and search_fields (the JSON text of fields; {} where there is nothing to search).
 
     A result whose artifact is missing or whose blob was shredded is unknown and hides its fields.
     results: sequence, run_id, outcome, artifact_id, payload_json. artifacts: id, content_hash. blobs: content_hash, wrapped_key.
@@ -23,15 +28,13 @@ def project(results: DataFrame, artifacts: DataFrame, blobs: DataFrame) -> DataF
     b = blobs.select(F.col("content_hash").alias("__b"), F.col("wrapped_key").alias("__k"))
     r = results.join(a, results["artifact_id"] == a["__a"], "left").join(b, F.col("__h") == F.col("__b"), "left")
     gone = F.col("artifact_id").isNotNull() & (F.col("__a").isNull() | F.col("__k").isNull())
-    payload = F.try_parse_json("payload_json")
-    fields = F.try_variant_get(payload, "$.fields", "variant")
-    nested = F.schema_of_variant(fields).rlike("^(OBJECT|ARRAY)")
+    fields = F.get_json_object("payload_json", "$.fields")
     return r.select(
         *results.columns,
-        F.coalesce(F.try_variant_get(payload, "$.source", "string"), F.lit("unknown")).alias("source"),
+        F.coalesce(F.get_json_object("payload_json", "$.source"), F.lit("unknown")).alias("source"),
         F.when(gone, "unknown").otherwise(F.col("outcome")).alias("effective_outcome"),
         (~gone).alias("readable"),
-        F.when(~gone & nested, fields).otherwise(F.parse_json(F.lit("{}"))).alias("search_fields"),
+        F.when(~gone & fields.rlike(r"^[\[{]"), fields).otherwise("{}").alias("search_fields"),
     )
 
 
@@ -57,6 +60,10 @@ class CardFilter:
             raise ValueError("the ages are reversed")
         if self.date_from and self.date_to and self.date_from > self.date_to:
             raise ValueError("the dates are reversed")
+        if any(x is not None and not 0 <= x <= 150 for x in (self.min_age, self.max_age)):
+            raise ValueError("ages are 0 to 150")
+        if len(self.field) > 128 or len(self.pattern) > 512 or len(self.module) > 128 or any(unicodedata.category(c) == "Cc" for c in self.field + self.pattern + self.module):
+            raise ValueError("a field filter exceeds its bound or holds a control character")
 
     @property
     def empty(self) -> bool:
@@ -69,52 +76,72 @@ def calendar_date(text: Column) -> Column:
     return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.date_format(F.try_to_date(day, "yyyy-MM-dd"), "yyyy-MM-dd") == day) & (day >= "0001-01-01"), day)
 
 
-def tri_state(card: Column, path: str) -> Column:
-    """true, false, or unknown for anything that is no boolean."""
-    v = F.try_variant_get(card, path, "variant")
-    return F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(card, path, "string")).otherwise("unknown")
-
-
 def matches(card: Column, f: CardFilter) -> Column:
-    """Whether a card (variant) satisfies all of the filter but its leaf pattern."""
-    ok = F.schema_of_variant(card).startswith("OBJECT")
+    """Whether a typed card satisfies all of the filter but its leaf pattern: booleans and whole ages are what JSON says they are."""
+    ok = card.isNotNull()
     if f.module:
-        ok = ok & (F.try_variant_get(card, "$.module", "string") == f.module)
+        ok = ok & (card["module"] == f.module)
     for name, want in (("verified", f.verified), ("private", f.private)):
         if want:
-            ok = ok & (tri_state(card, f"$.fields.{name}") == want)
+            ok = ok & (F.coalesce(card["fields"][name].cast("string"), F.lit("unknown")) == want)
     if f.min_age is not None or f.max_age is not None:
-        whole = F.schema_of_variant(F.try_variant_get(card, "$.fields.age", "variant")) == "BIGINT"
-        age = F.when(whole, F.try_variant_get(card, "$.fields.age", "long"))
-        ok = ok & age.between(max(0, f.min_age or 0), min(150, 150 if f.max_age is None else f.max_age))
+        ok = ok & card["fields"]["age"].between(f.min_age or 0, 150 if f.max_age is None else f.max_age)
     if f.date_from or f.date_to:
-        v = F.try_variant_get(card, f"$.fields.{f.date_field}", "variant")
-        day = F.when(F.schema_of_variant(v) == "STRING", calendar_date(F.try_variant_get(card, f"$.fields.{f.date_field}", "string")))
+        day = calendar_date(card["fields"]["day"])
         ok = ok & (day >= (f.date_from or "0001-01-01")) & (day <= (f.date_to or "9999-12-31"))
     return F.coalesce(ok, F.lit(False))
 
 
-def leaf_matches(leaves: Column, f: CardFilter) -> Column:
-    """leaves: map of key to scalar text; exact key, glob of the value, or both."""
-    pairs = F.map_entries(leaves)
-    ok = lambda e: (F.lit(True) if not f.field else e["key"] == f.field) & (F.lit(True) if not f.pattern else e["value"].rlike(glob_pattern(f.pattern)))
-    return F.coalesce(F.exists(F.filter(pairs, lambda e: e["value"].isNotNull() & ~e["value"].rlike(r"^[\[{]")), ok), F.lit(False))
+def leaves(value) -> Iterator[tuple[str | None, str]]:
+    """(key, text) of every scalar but null, however deep; a list's elements have their number as key."""
+    todo: list[tuple[str | None, object]] = [(None, value)]
+    while todo:
+        key, v = todo.pop()
+        if isinstance(v, dict):
+            todo += v.items()
+        elif isinstance(v, list):
+            todo += [(str(i), x) for i, x in enumerate(v)]
+        elif v is not None:
+            yield key, v if isinstance(v, str) else json.dumps(v)
+
+
+def has_leaf(texts: Column, f: CardFilter) -> Column:
+    """array<boolean> from array<string> of JSON texts: whether a leaf has the exact key, matches the glob, or both."""
+    wanted = re.compile(glob_pattern(f.pattern)) if f.pattern else None
+
+    def one(text: str | None) -> bool:
+        try:
+            return any((not f.field or k == f.field) and (wanted is None or wanted.match(v) is not None) for k, v in leaves(json.loads(text or "{}")))
+        except ValueError:
+            return False
+
+    @F.pandas_udf("array<boolean>")
+    def of(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda some: [one(t) for t in some])
+
+    return of(texts)
 
 
 def by_cards(projected: DataFrame, f: CardFilter) -> DataFrame:
-    """Rows one of whose cards satisfies the whole filter; a row without cards has one empty card."""
+    """Rows one of whose cards satisfies the whole filter; a row without cards has one empty card, whose leaves are all of its fields.
+
+    Cards are parsed once, into the few types that the filter reads; only rows that satisfy the rest have their leaves walked.
+    """
     if f.empty:
         return projected
-    cards = F.try_variant_get("search_fields", "$.cards", "array<variant>")
-    some = F.when(F.size(cards) > 0, cards).otherwise(F.array(F.parse_json(F.lit("{}"))))
-
-    def one(card):
-        ok = matches(card, f)
-        if f.field or f.pattern:
-            ok = ok & leaf_matches(F.try_variant_get(card, "$.fields", "map<string,string>"), f)
-        return ok
-
-    return projected.filter(F.exists(some, one))
+    typed = "cards array<struct<module:string,fields:struct<verified:boolean,private:boolean,age:bigint,day:string>>>"
+    # the filter's date field is read under one name
+    source = F.regexp_replace("search_fields", f'"{re.escape(f.date_field)}"\\s*:', '"day":') if f.date_from or f.date_to else F.col("search_fields")
+    cards = F.from_json(source, typed)["cards"]
+    empty = F.from_json(F.lit('{"cards":[{"fields":{}}]}'), typed)["cards"]
+    rows = projected.withColumn("__cards", F.when(F.size(cards) > 0, cards).otherwise(empty))
+    rows = rows.withColumn("__ok", F.transform("__cards", lambda c: matches(c, f))).filter(F.array_contains("__ok", True))
+    if f.field or f.pattern:
+        own = F.from_json("search_fields", "cards array<struct<fields:string>>")["cards"]
+        texts = F.when(F.size(own) > 0, F.transform(own, lambda c: F.coalesce(c["fields"], F.lit("{}")))).otherwise(F.array("search_fields"))
+        hit = F.zip_with("__ok", has_leaf(texts, f), lambda a, b: a & b)
+        rows = rows.withColumn("__hit", hit).filter(F.array_contains("__hit", True)).drop("__hit")
+    return rows.drop("__cards", "__ok")
 
 
 def facets(projected: DataFrame) -> DataFrame:
@@ -163,7 +190,21 @@ def conflicts(saves: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def selected(results: DataFrame, ids: list) -> DataFrame:
-    """Results in the caller's order, each once, with position."""
+    """Results in the caller's order, each once, with position. An id that no result has is an error."""
     spark = results.sparkSession
     wanted = spark.range(1).select(F.posexplode(F.array(*[F.lit(i) for i in dict.fromkeys(ids)])).alias("position", "sequence"))
+    missing = [r[0] for r in wanted.join(results, "sequence", "left_anti").select("sequence").collect()]
+    if missing:
+        raise KeyError(f"no such results: {sorted(missing)}")
     return wanted.join(results, "sequence")
+
+
+def filtered_page(projected: DataFrame, f: CardFilter, outcome: str = "", sources: tuple[str, ...] = (), size: int = 50, offset: int = 0) -> DataFrame:
+    """The page of what the filters leave, by sequence, with total (of the filtered rows) and run_total (of all) on each row."""
+    if offset > 1_000_000 or len(sources) > 100 or any(not s or len(s) > 128 for s in sources):
+        raise ValueError("result filter or offset exceeds its bound")
+    found = by_cards(projected, f)
+    found = found.filter(F.col("effective_outcome") == outcome) if outcome else found
+    found = found.filter(F.col("source").isin(*sources)) if sources else found
+    totals = found.agg(F.count("*").alias("total")).first()[0], projected.count()
+    return page(found, size, offset).withColumns({"total": F.lit(totals[0]).cast("long"), "run_total": F.lit(totals[1]).cast("long")})

@@ -40,7 +40,7 @@ def relations(spark, d):
     return x.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("id"), F.concat(F.lit("c"), c("o_custkey")).alias("from_entity"), F.concat(F.lit("s"), c("l_suppkey")).alias("to_entity"), F.lit("buys_from").alias("kind"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("row_seq"))
 
 
-RELATIONS_SQL = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS id, 'c' || o_custkey AS f, 's' || l_suppkey AS t, l_orderkey * 10 + l_linenumber AS row_seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <= 400"
+RELATIONS_SQL = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS id, 'c' || o_custkey AS f, 's' || l_suppkey AS t, l_orderkey * 10 + l_linenumber AS row_seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 PAIRS_SQL = "SELECT 'c' || c_custkey AS a, 'c' || (c_custkey - 1) AS b FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey > 0"
 
 
@@ -109,7 +109,7 @@ SQL = {
     "er_map_violations": f"""WITH m AS ({M.MERGES_SQL} UNION ALL SELECT 'c3', 'c7' UNION ALL SELECT 'c3', 'c14') SELECT entity_id, 'canonical is absorbed' AS violation FROM m WHERE canonical_id IN (SELECT entity_id FROM m)
       UNION ALL SELECT entity_id, 'absorbed twice' FROM m GROUP BY entity_id HAVING count(*) > 1""",
     "entity_list": "SELECT (row_number() OVER (ORDER BY c_name, c_custkey))::INT AS position, 'c' || c_custkey AS id, c_name AS display_name FROM customer WHERE NOT (c_custkey % 7 = 0 AND c_custkey > 1) ORDER BY c_name, c_custkey LIMIT 500",
-    "entity_dimension_agreement": """WITH s AS (SELECT 'd' || doc_id AS subject_id, unnest(['quality', 'toxic', 'age']) AS dimension FROM documents WHERE doc_id < 60),
+    "entity_dimension_agreement": """WITH s AS (SELECT 'd' || doc_id AS subject_id, unnest(['quality', 'toxic', 'age']) AS dimension FROM documents),
       a AS (SELECT 'd' || (doc_id % 50) AS subject_id, 'quality' AS dimension, quality AS v FROM labels UNION ALL SELECT 'd' || (doc_id % 50), 'toxic', toxic FROM labels),
       n AS (SELECT subject_id, dimension, count(DISTINCT v) AS n FROM a GROUP BY ALL)
       SELECT s.subject_id, s.dimension, CASE WHEN n IS NULL THEN 'unassessed' WHEN n > 1 THEN 'disagreed' ELSE 'assessed' END AS standing FROM s LEFT JOIN n ON n.subject_id = s.subject_id AND n.dimension = s.dimension""",

@@ -104,7 +104,7 @@ SQL = {
     "supersession_match": """WITH x AS (SELECT conv_id || '-' || turn AS id, conv_id % 20 AS a, role AS k, turn AS l, conv_id * 10 + turn AS s FROM conversations)
       SELECT o.id AS superseded_id, (SELECT min_by(n.id, n.s) FROM x n WHERE (n.s % 2 = 1 OR n.s % 3 = 0) AND n.a = o.a AND n.k = o.k AND n.l = o.l) AS superseded_by FROM x o WHERE o.s % 2 = 0""",
     "evidence_preview": "SELECT artifact_id, row_seq, total FROM (SELECT source AS artifact_id, doc_id AS row_seq, sum(strlen(text)) OVER w AS total, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE total <= 20000 AND n <= 10",
-    "audit_chain_verify": "SELECT count(*) AS checked, 500::BIGINT AS first_break, 'event was changed' AS reason FROM events WHERE event_id < 2000",
+    "audit_chain_verify": "WITH c AS (SELECT event_id, CASE WHEN event_id = 500 THEN 'edited' ELSE event_type END AS now, event_type AS then_ FROM events) SELECT (SELECT count(*) FROM c) AS checked, min(event_id) AS first_break, CASE WHEN min(event_id) IS NOT NULL THEN 'event was changed' END AS reason FROM c WHERE now <> then_",
     "package_survey": f"""WITH a AS ({M.ARTIFACTS_SQL}), b AS (SELECT content_hash, min(row_seq) AS n, max(byte_length) AS s, bool_or(row_seq % 5 <> 0) AS f FROM a GROUP BY 1)
       SELECT content_hash, CASE WHEN n % 9 = 0 THEN 'shredded' WHEN NOT f THEN 'missing' WHEN s > 3000 THEN 'excluded' ELSE 'travelling' END AS standing FROM b""",
     "package_verify": """SELECT 'f' || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN 'unclaimed' WHEN p_partkey % 7 = 0 AND p_partkey % 13 <> 0 THEN 'absent' WHEN p_partkey % 13 = 0 AND p_partkey % 7 <> 0 THEN 'duplicate'

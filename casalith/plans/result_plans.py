@@ -38,9 +38,9 @@ PROJECTED_SQL = f"""WITH b AS (SELECT sha256(text) AS h, min(doc_id) % 5 <> 0 AS
   r AS ({RESULTS_SQL}) SELECT r.*, CASE WHEN broken THEN 'unknown' ELSE src END AS source, artifact_id IS NULL OR coalesce(a.ok, false) AS readable, CASE WHEN artifact_id IS NULL OR coalesce(a.ok, false) THEN outcome ELSE 'unknown' END AS effective_outcome FROM r LEFT JOIN a ON a.id = r.artifact_id"""
 ALPHA = R.CardFilter(module="alpha", verified="true", min_age=10, max_age=60)
 UNKNOWN = R.CardFilter(verified="unknown", pattern="n?")
-DATES = R.CardFilter(module="beta", date_from="2024-01-10", date_to="2024-01-20")
+DATES = R.CardFilter(module="beta", date_field="created", date_from="2024-01-10", date_to="2024-01-20")
 GLOB = R.CardFilter(module="alpha", field="name", pattern="n[1-3]*")
-HALF_AGE = R.CardFilter(module="beta", min_age=0)
+HALF_AGE = R.CardFilter(min_age=0)  # the beta cards have ages such as 7.0, the alpha cards whole ones
 
 
 def _filtered(f):
@@ -57,7 +57,7 @@ def _sources(spark, d):
 
 
 def _selectors(spark, d):
-    return M.t(spark, d, "customer").filter("c_custkey < 15").select(F.element_at(F.array(F.lit("email"), F.lit("username"), F.lit("phone")), (c("c_custkey") % 3 + 1).cast("int")).alias("kind"), c("c_name").alias("normalized"))
+    return M.t(spark, d, "customer").select(F.element_at(F.array(F.lit("email"), F.lit("username"), F.lit("phone")), (c("c_custkey") % 3 + 1).cast("int")).alias("kind"), c("c_name").alias("normalized"))
 
 
 QUERIES = {
@@ -87,13 +87,13 @@ SQL = {
     "results_unknown_and_leaf": _s + "sequence % 3 = 2 AND sequence % 11 < 10",
     "results_date_filter": _s + "day BETWEEN '2024-01-10' AND '2024-01-20'",
     "results_glob_leaf": _s + "regexp_matches('n' || (sequence % 11), '^n[1-3]')",
-    "results_age_must_be_whole": _s + "false",
+    "results_age_must_be_whole": _s + "k % 90 BETWEEN 0 AND 150",
     "results_page": f"SELECT sequence, run_id FROM ({PROJECTED_SQL}) WHERE effective_outcome = 'blocked' AND source = 'hackernews' ORDER BY sequence LIMIT 50 OFFSET 100",
     "runs_status": f"""SELECT r_regionkey::VARCHAR AS run_id, coalesce(n, 0) AS completed, CASE WHEN r_regionkey = 1 THEN 'cancelled' WHEN coalesce(n, 0) >= 2500 THEN 'completed' WHEN r_regionkey = 4 THEN 'interrupted' ELSE 'partial' END AS status
       FROM region LEFT JOIN (SELECT run_id, count(*) AS n FROM ({RESULTS_SQL}) GROUP BY run_id) x ON x.run_id = r_regionkey::VARCHAR""",
     "cache_lookup": f"SELECT cache_key, max(sequence) AS sequence FROM ({PROJECTED_SQL}) WHERE effective_outcome IN ('found', 'not_found', 'taken', 'available') AND readable AND NOT from_cache AND created_epoch BETWEEN 50000 - 28800 AND 50000 GROUP BY cache_key",
-    "plan_cross_product": "SELECT s.kind, c_name AS normalized, n_name AS source FROM (SELECT c_name, ['email', 'username', 'phone'][c_custkey % 3 + 1] AS kind FROM customer WHERE c_custkey < 15) s JOIN nation ON s.kind = 'username' OR (s.kind = 'email' AND n_nationkey % 2 = 0)",
-    "plan_without_source": "SELECT 'phone' AS kind, c_name AS normalized FROM customer WHERE c_custkey < 15 AND c_custkey % 3 = 2",
+    "plan_cross_product": "SELECT s.kind, c_name AS normalized, n_name AS source FROM (SELECT c_name, ['email', 'username', 'phone'][c_custkey % 3 + 1] AS kind FROM customer) s JOIN nation ON s.kind = 'username' OR (s.kind = 'email' AND n_nationkey % 2 = 0)",
+    "plan_without_source": "SELECT 'phone' AS kind, c_name AS normalized FROM customer WHERE c_custkey % 3 = 2",
     "documents_latest_revision": "SELECT o_custkey AS id, o_orderkey AS revision, false AS archived, o_orderpriority AS name FROM orders o WHERE o_orderstatus <> 'F' AND o_orderkey = (SELECT max(o_orderkey) FROM orders p WHERE p.o_custkey = o.o_custkey)",
     "revision_conflicts": "SELECT c_custkey AS id, m AS latest FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS m FROM orders GROUP BY 1) x ON x.o_custkey = c_custkey WHERE coalesce(m, 0) <> c_custkey * 7",
     "results_selected": "SELECT i::INT AS position, event_id AS sequence, ['found', 'not_found', 'blocked', 'error', 'taken'][event_id % 5 + 1] AS outcome FROM (VALUES (0, 7), (1, 3), (2, 99), (3, 12)) v(i, s) JOIN events ON event_id = s",

@@ -95,10 +95,10 @@ SQL = {
     "text_lines": r"SELECT doc_id, (i - 1)::INT AS line_no, line FROM (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS a FROM documents)) WHERE trim(line) <> ''",
     "column_suggestions": "SELECT * FROM (VALUES ('full_name', 'name', 100::BIGINT, 100::BIGINT, true), ('contact', 'email', 100, 100, false), ('ip', 'ip', 100, 100, true)) t(\"column\", kind, valid, sampled, named)",
     "mapped_name_columns": "SELECT c_custkey, regexp_replace(trim(c_mktsegment) || ' ' || trim(c_name), '\\s+', ' ', 'g') AS name FROM customer",
-    "coalesced_ranges": """WITH r AS (SELECT l_suppkey AS source, l_orderkey * 100 + l_linenumber AS a, l_quantity::BIGINT AS n FROM lineitem WHERE l_orderkey < 2000),
+    "coalesced_ranges": """WITH r AS (SELECT l_suppkey AS source, l_orderkey * 100 + l_linenumber AS a, l_quantity::BIGINT AS n FROM lineitem),
       e AS (SELECT *, max(a + n) OVER (PARTITION BY source ORDER BY a, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM r),
       i AS (SELECT *, sum(CASE WHEN e IS NULL OR a > e + 4096 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY a, n ROWS UNBOUNDED PRECEDING) AS i FROM e)
       SELECT source, min(a) AS first, max(a + n) AS last, count(*) AS pieces FROM i GROUP BY source, i""",
-    "csv_neutralise": """WITH x AS (SELECT doc_id, [' =', 'a,"', '-', ''][doc_id % 4 + 1] || left(text, 40) AS t FROM documents) SELECT doc_id, '"' || CASE WHEN regexp_matches(t, '^\\s*[=+@-]') THEN '''' ELSE '' END || replace(t, '"', '""') || '"' AS cell FROM x""",
-    "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages",
+    "csv_neutralise": """WITH x AS (SELECT doc_id, [' =', 'a,"', '-', ''][doc_id % 4 + 1] || text AS t FROM documents) SELECT doc_id, '"' || CASE WHEN regexp_matches(t, '^\\s*[=+@-]') THEN '''' ELSE '' END || replace(t, '"', '""') || '"' AS cell FROM x""",
+    "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages",
 }

@@ -35,18 +35,40 @@ def page_sql(inner: str, limit: int = 50) -> str:
     return f"SELECT row_number() OVER (ORDER BY relevance, subject_id)::INT AS position, subject_kind, subject_id, facet, relevance FROM ({inner}) WHERE NOT superseded ORDER BY relevance, subject_id LIMIT {limit}"
 
 
+_BUILT: dict = {}
+
+
+def indexed(spark, d, rows=M.index_rows) -> S.Index:
+    """The index of a data folder, built when it is first asked for in an application, and then opened."""
+    key = (spark.sparkContext.applicationId, d, rows.__name__)
+    if key not in _BUILT:
+        _BUILT[key] = S.index(rows(spark, d))
+    return _BUILT[key]
+
+
 def _page(text, typeahead=False):
     def run(spark, d):
-        return S.search(S.index(M.index_rows(spark, d)), text, typeahead=typeahead).drop("canonical_id")
+        return S.search(indexed(spark, d), text, typeahead=typeahead).drop("canonical_id")
 
     return run
 
 
 def _collapsed(spark, d):
-    found = S.filtered(S.rank(S.index(M.entity_rows(spark, d)), parse_query(ENTITY, True))).select("subject_kind", "subject_id", "facet", "relevance")
+    ix = indexed(spark, d, M.entity_rows)
+    found = S.hydrate(ix, S.filtered(S.rank(ix, parse_query(ENTITY, True)))).select("subject_kind", "subject_id", "facet", "relevance")
     return S.collapse(found, M.merges(spark, d))
 
 
+def _responded(spark, d):
+    return S.respond(indexed(spark, d), PHRASE, C.summary(M.artifacts(spark, d), M.runs(spark, d), M.gaps(spark, d)).select("artifacts", "incomplete", "is_complete"), 20).drop("canonical_id")
+
+
+def _disagreements(spark, d):
+    now = M.index_rows(spark, d).filter("subject_id NOT LIKE '%7'").withColumn("facet", F.when(F.col("subject_id").endswith("3"), "moved").otherwise(F.col("facet")))
+    more = M.entity_rows(spark, d).filter("facet = 'organisation'")
+    return S.disagreements(indexed(spark, d), now.unionByName(more))
+
+
 COLLAPSED_SQL = f"""WITH r AS ({ranked_sql(M.ENTITY_SQL, ENTITY, True)}), m AS ({M.MERGES_SQL}),
 k AS (SELECT entity_id AS member, canonical_id FROM m UNION SELECT canonical_id, canonical_id FROM m),
 j AS (SELECT r.*, k.canonical_id FROM r LEFT JOIN k ON r.subject_id = k.member)
@@ -69,7 +91,7 @@ UNION ALL SELECT 'observation', 'd' || doc_id, '', text, lang, doc_id % 10 = 0,
 
 
 def _batch(spark, d):
-    return S.batch(S.index(M.index_rows(spark, d)), BATCH).select("query_no", "subject_id", "rank", "total", "relevance")
+    return S.batch(indexed(spark, d), BATCH).select("query_no", "subject_id", "rank", "total", "relevance")
 
 
 BATCH_SQL = " UNION ALL ".join(
@@ -79,7 +101,7 @@ BATCH_SQL = " UNION ALL ".join(
 
 
 def _matched(spark, d):
-    return S.filtered(S.rank(S.index(M.index_rows(spark, d)), TOPK))
+    return S.filtered(S.rank(indexed(spark, d), TOPK))
 
 
 def _abr(f):
@@ -106,6 +128,8 @@ QUERIES = {
     "fts_collapse_alias": _collapsed,
     "fts_collapse_facets": lambda spark, d: S.facet_counts(_collapsed(spark, d)),
     "fts_local_batch": _batch,
+    "fts_response": _responded,
+    "fts_index_agreement": _disagreements,
     "search_document_projection": _projection,
     "dangling_documents": _dangling,
     "coverage_summary": _abr(C.summary),
@@ -127,6 +151,15 @@ SQL = {
     "fts_collapse_alias": COLLAPSED_SQL,
     "fts_collapse_facets": f"SELECT subject_kind, facet, count(*) AS n FROM ({COLLAPSED_SQL}) GROUP BY ALL",
     "fts_local_batch": BATCH_SQL,
+    "fts_response": f"""WITH r AS ({ranked_sql(M.INDEX_SQL, PHRASE)}), f AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY relevance, subject_id)::INT AS position FROM r WHERE NOT superseded),
+        p AS (SELECT f.*, i.title, regexp_split_to_array(i.body, '\\s+') AS w FROM f JOIN ({M.INDEX_SQL}) i USING (subject_id) WHERE position <= 20),
+        h AS (SELECT *, list_transform(w, lambda x: len(list_filter({tokens_sql('x')}, lambda y: y IN ('to'))) > 0) AS hit FROM p), s AS (SELECT *, greatest(coalesce(list_position(hit, true), 0) - 6, 1) AS a FROM h),
+        c AS (SELECT count(*) AS n, count(*) FILTER (state <> 'complete') AS i FROM ({M.STATES_SQL}))
+        SELECT position, subject_kind, subject_id, facet, relevance, title, total, CASE WHEN a > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(a, least(a + 12, len(w) + 1)), lambda k: CASE WHEN hit[k] THEN '[' || w[k] || ']' ELSE w[k] END), ' ') || CASE WHEN a + 12 <= len(w) THEN '…' ELSE '' END AS snippet,
+        c.n AS coverage_artifacts, c.i AS coverage_incomplete, c.i = 0 AS coverage_is_complete FROM s, c""",
+    "fts_index_agreement": f"""WITH n AS (SELECT subject_kind, subject_id, CASE WHEN ends_with(subject_id, '3') THEN 'moved' ELSE facet END AS facet FROM ({M.INDEX_SQL}) WHERE NOT ends_with(subject_id, '7') UNION ALL SELECT subject_kind, subject_id, facet FROM ({M.ENTITY_SQL}) WHERE facet = 'organisation'),
+        t AS (SELECT subject_kind, subject_id, facet FROM ({M.INDEX_SQL})) SELECT * FROM (SELECT coalesce(n.subject_kind, t.subject_kind) AS subject_kind, coalesce(n.subject_id, t.subject_id) AS subject_id, CASE WHEN t.facet IS NULL THEN 'missing' WHEN n.facet IS NULL THEN 'orphan' WHEN n.facet <> t.facet THEN 'stale' END AS finding
+        FROM n FULL JOIN t ON n.subject_kind = t.subject_kind AND n.subject_id = t.subject_id) WHERE finding IS NOT NULL""",
     "search_document_projection": PROJECTION_SQL,
     "dangling_documents": "SELECT 'observation' AS subject_kind, 'd' || doc_id AS subject_id FROM documents d WHERE NOT EXISTS (FROM labels l WHERE l.doc_id = d.doc_id)",
     "coverage_summary": f"""SELECT *, incomplete = 0 AS is_complete FROM (SELECT *, never_attempted + in_progress + failed + partial AS incomplete FROM (SELECT count(*) AS artifacts, count(*) FILTER (state = 'never') AS never_attempted,

@@ -78,9 +78,11 @@ SQL = {
       n AS (SELECT count(*) AS total, count(*) FILTER (e) AS hits, count(*) FILTER (l) AS lexical FROM h) SELECT *, hits * 4 >= total * 3 AND hits >= lexical AS passed FROM n""",
     "hybrid_rrf": f"""WITH k AS ({_knn("b.vec_id IN (0, 1)", 40)}), s AS (SELECT vec_id % 50 AS key, max(1 / (60.0::DOUBLE + rank - 1)) AS s FROM k WHERE query_id = 0 GROUP BY 1 UNION ALL SELECT vec_id % 50, 1 / (60.0::DOUBLE + min(rank) - 1) FROM k WHERE query_id = 1 GROUP BY 1)
       SELECT key, round(sum(s), 9) AS score FROM s GROUP BY key""",
-    "hamming_duplicates": """WITH h AS (SELECT doc_id AS id, ('0x' || substring(sha256(left(text, 30)), 1, 16))::UBIGINT AS h FROM documents), l AS (SELECT h, min(id) AS root FROM h GROUP BY h)
+    "hamming_duplicates": """WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), s AS (SELECT id, unnest(list_transform(range(greatest(len(w) - 2, 1)), lambda i: ('0x' || substring(md5(array_to_string(w[i + 1:i + 3], ' ')), 1, 16))::UBIGINT)) AS x FROM t WHERE len(w) > 0),
+      f AS (SELECT id, unnest(range(64)) AS b, unnest([""" + ", ".join(f"2 * sum((x >> {b}) & 1) > count(*)" for b in range(64)) + """]) AS one FROM s GROUP BY id), g AS (SELECT id, sum(CASE WHEN one THEN (1::UBIGINT << b::UBIGINT)::HUGEINT ELSE 0 END)::UBIGINT AS h FROM f GROUP BY id),
+      h AS (SELECT t.id, coalesce(g.h, 0)::UBIGINT AS h FROM t LEFT JOIN g USING (id)), l AS (SELECT h, min(id) AS root FROM h GROUP BY h)
       SELECT root AS left_id, id AS right_id, 0 AS bits FROM h JOIN l USING (h) WHERE id <> root UNION ALL SELECT a.root, b.root, bit_count(xor(a.h, b.h))::INT FROM l a JOIN l b ON a.root < b.root WHERE bit_count(xor(a.h, b.h)) <= 8""",
     "diverse_round_robin": "SELECT doc_id, source, row_number() OVER (ORDER BY n, source) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)",
-    "box_overlap": """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity % 7 AS a, l_quantity % 5 AS b FROM lineitem WHERE l_orderkey < 500), i AS (SELECT *, greatest(0, least(a + 4, 6) - greatest(a, 2)) * greatest(0, least(b + 3, 4) - greatest(b, 2)) AS i FROM x)
+    "box_overlap": """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity % 7 AS a, l_quantity % 5 AS b FROM lineitem), i AS (SELECT *, greatest(0, least(a + 4, 6) - greatest(a, 2)) * greatest(0, least(b + 3, 4) - greatest(b, 2)) AS i FROM x)
       SELECT l_orderkey, l_linenumber, round(i / (12 + 8 - i), 6) AS iou, greatest(0, least(1000, floor(a * 1000 / 7.5)))::INT AS "left", greatest(0, least(1000, ceil((a + 4) * 1000 / 7.5)))::INT AS "right" FROM i""",
 }
