@@ -108,9 +108,15 @@ def differences(a: str, b: str) -> tuple[list[tuple[int, int, int]], int]:
     flat = lambda some: [(i, j, p) for i, (_, paras) in some for j, p in enumerate(paras)]
     mine, other = _left(list(enumerate(sections(a))), lambda s: s[1][0], list(enumerate(sections(b))))
     mine, other = _left(flat(mine), lambda p: p[2], flat(other))
-    each = lambda some: [(i, j, k, x) for i, j, p in some for k, x in enumerate(leaves(p))]
-    mine, other = _left(each(mine), lambda x: x[3], each(other))
-    return [x[:3] for x in mine], len(other)
+    there = Counter(x for _, _, p in other for x in leaves(p))
+    found = []
+    for i, j, p in mine:
+        for k, x in enumerate(leaves(p)):
+            if there.get(x, 0) > 0:
+                there[x] -= 1
+            else:
+                found.append((i, j, k))
+    return found, sum(there.values())
 
 
 def n_leaves(fp: str) -> int:
@@ -142,7 +148,7 @@ def fingerprints(text: Column) -> Column:
     return of(text)
 
 
-def in_order(docs: DataFrame, rows_a_bucket: int = 2048, coarse: int = 128, most_fine: int = 8192) -> DataFrame:
+def in_order(docs: DataFrame, rows_a_bucket: int = 256, coarse: int = 128, most_fine: int = 8192) -> DataFrame:
     """(bucket, head, doc_id, text) such that in each bucket, by (head, doc_id descending, text), the last row is the first one of the next bucket.
 
     Buckets are ranges of doc_id: up to 128 by approximate quantiles, each cut evenly. Null ids are the last. The row with head 1
