@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,13 +84,23 @@ def test_mix_matches_water_filling(spark, docs):
         s = next(b for a, b in sources if a == r.doc_id)
         by[s] = by.get(s, 0) + r.taken
         assert abs(r.target - target[s]) < 1e-6 * (1 + target[s]) and r.source_size == size[s]
+    # every block is one word here: a source takes as many as schedule points fall into its interval of cumulative weights
+    whole, low = sum(target.values()), 0.0
+    points = np.modf(np.arange(round(whole)) * mixing.GOLDEN)[0]
     for s in names:
-        assert abs(by.get(s, 0) - target[s]) <= 1
+        high = low + target[s] / whole
+        last = 1.5 if s == names[-1] else high
+        assert by.get(s, 0) == min(cap[s], ((points >= low) & (points < last)).sum()) and abs(by.get(s, 0) - target[s]) < 4
+        low = high
     assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.op2(docs).collect()), key=repr)
     assert mixing.op2(docs.limit(0)).count() == 0
     whole = mixing.mixed_documents(docs.withColumn("size", F.lit("clash")))
     assert whole.columns == [*docs.columns, "size"]
-    assert whole.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] <= sum(size.values()) + 4
+    assert whole.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r.taken for r in mixing.op2(docs.withColumn("size", F.lit("clash")).drop("x")).collect())
+    slots = lambda **o: sorted((r.doc_id or -1, r.slot) for r in mixing.mixed_documents(docs, with_slot=True, **o).collect())
+    one = slots()
+    assert len({x for _, x in one}) == len(one) and one == slots()
+    assert one != slots(point=lambda k: F.pmod(F.xxhash64(k), F.lit(1 << 30)) / float(1 << 30))
 
 
 def test_html(spark):
@@ -114,12 +125,15 @@ def test_leaks(spark, docs):
     edited = item.split()
     edited[15] = "other"
     leaky = [(100, prose(5, 80) + " " + item.upper() + " " + prose(6, 80), "en", "a", 1), (101, prose(7, 40) + " " + " ".join(edited), "en", "a", 1), (102, prose(8, 300), "en", "a", 1)]
+    leaky += [(103, "Too SHORT!", "en", "a", 1), (104, "it is too short", "en", "a", 1)]
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, prose(78, 40))], "item_id long, text string")
     all_ = docs.unionByName(spark.createDataFrame(leaky, DOCS))
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(all_, bench, least=0.6).collect()}
-    assert set(got) == {(100, 1), (101, 1)} and got[100, 1].similarity == 1.0 and got[100, 1].start_word == 80
+    assert set(got) == {(100, 1), (101, 1), (103, 3)} and got[100, 1].similarity == 1.0 and got[100, 1].start_word == 80 and got[103, 3].n_words == 2
+    blocks = decontaminate.find_leaks(all_, bench, least=0.6, block=7).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, got.values()))
     kept = decontaminate.without_leaks(all_, bench)
-    assert kept.count() == len(odd_rows()) + 2 and kept.columns == all_.columns
+    assert kept.count() == len(odd_rows()) + 3 and kept.columns == all_.columns
     assert decontaminate.op4(docs.limit(0), bench).count() == 0 and decontaminate.op4(docs, bench.limit(0)).count() == 0
 
 
@@ -161,7 +175,10 @@ def test_one_of_each(spark):
     rows = odd_rows() + [(300, text, "en", "a", 1), (301, " ".join(near), "en", "a", 1), (302, text, "fr", "b", 1)]
     kept = similar.one_of_each(spark.createDataFrame(rows, DOCS))
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == [1, 2, 4, 5, *range(10, 30), 300] or ids == [2, 4, 5, *range(10, 30), 300] or ids == [1, 4, 5, *range(10, 30), 300]
+    assert ids == [1, 4, 5, *range(10, 30), 300]
+    odd = [(1, "a b c d e f", "x", "b", 2), (1, "a b c d e f", "x", "a", 2), (1, "a b c d e f", "x", "a", 2)]
+    twice = [sorted(map(tuple, similar.one_of_each(spark.createDataFrame(odd[::d], DOCS).withColumn("k", F.lit(7)).repartition(3)).collect())) for d in (1, -1)]
+    assert twice[0] == twice[1] and len(twice[0]) == 1
     assert similar.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -183,6 +200,13 @@ def test_pii_base_and_learning(spark, docs):
     rows = [(i, f"{prose(i, 9)} please write to u{i}@mail.example.com now", "en", "a", 1) for i in range(40)] + [(99, "please write to user77@intranet today", "en", "a", 1)]
     got = {r.doc_id: r for r in pii.op7(spark.createDataFrame(rows, DOCS)).collect()}
     assert got[99].spans == "email:16:31" and got[99].n_email == 0 and got[3].n_email == 1
+    r = np.random.default_rng(4)
+    for _ in range(3000):
+        t = "".join(r.choice(list("ab1.@-_:%, "), r.integers(1, 25)))
+        assert [m.span() for m in pii.emails(t)] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        assert list(pii.tokens(t)) == [m.span() for m in re.finditer(r"[^\s,;:!?\"'<>()\[\]]*[0-9@][^\s,;!?\"'<>()\[\]]*", t)]
+        t = "".join(r.choice(list("12..a"), r.integers(1, 25)))
+        assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)]
     assert pii.op7(docs).count() == len(odd_rows()) and pii.op7(docs.limit(0)).count() == 0
 
 
@@ -217,6 +241,19 @@ def test_fingerprints(spark, docs):
     assert sorted(edited, key=repr) == sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr)
     a, b = merkle.fingerprint("One, two.\nThree four.\n\nFive."), merkle.fingerprint("One, two.\nThree four!\n\nFive.")
     assert merkle.likeness(a, a) == 1 and 0 < merkle.likeness(a, b) < 1 and len(merkle.edits(a, b)) == 1
+    a, b = merkle.fingerprint("A.\nB.\nA.\nC."), merkle.fingerprint("A.\nB.\nC.")
+    assert merkle.edits(a, b) == [(0, 2)] and merkle.edits(b, a) == [] and round(merkle.likeness(a, b), 6) == round(6 / 7, 6) == round(merkle.likeness(b, a), 6)
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        x, y = ("\n".join(" ".join(r.choice(VOCABULARY[:12], r.integers(0, 9))) + "." for _ in range(r.integers(1, 9))) for _ in range(2))
+        x = x + "\n" + y if r.random() < 0.5 else x
+        plain = lambda t: Counter((p for line in t.split("\n") for p in merkle.pieces(line)))
+        p, q = plain(x), plain(y)
+        found, other = merkle.differences(*map(merkle.fingerprint, (x, y)))
+        # the descent never finds more alike than the bags of pieces hold, and all of it where a text holds the other whole
+        assert len(found) >= sum((p - q).values()) and other >= sum((q - p).values())
+        assert merkle.n_leaves(merkle.fingerprint(x)) == sum(p.values())
+        assert merkle.likeness(merkle.fingerprint(x), merkle.fingerprint(y)) <= 2 * sum((p & q).values()) / max(1, sum(p.values()) + sum(q.values())) + 1e-9 or x == y
     assert merkle.op9(docs.limit(0)).count() == 0
 
 
@@ -229,6 +266,6 @@ def test_secrets(spark, docs):
     found = sorted((m.start(), i, m.end()) for i, (_, p, g, n) in enumerate(kinds) for m in re.finditer(p, text) if len(m[g]) >= n)
     want = ",".join(f"{kinds[i][0]}:{a}:{b}" for a, i, b in found)
     assert got[1].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and (got[1].n_assign, got[1].n_access, got[1].n_hex) == (2, 1, 1)
-    assert got[2].spans == "bare:4:24" and got[2].n_live == 1
+    assert got[2].spans == "bare:4:24" and got[2].n_live == 1 and got[2].verdicts == "live" and got[1].verdicts.count(",") == 3
     assert all(got[10 + i].spans == "" and got[10 + i].n_example == 1 for i in range(9))
     assert secrets.op10(docs).count() == len(odd_rows()) and secrets.op10(docs.limit(0)).count() == 0
