@@ -29,13 +29,13 @@ def features(token: str) -> tuple[str, ...]:
 
 
 def _contexts(text: Column) -> Column:
-    """The distinct (word, hash of the word before it) of a text."""
+    """The (word, hash of the word before it) of a text."""
 
     def pairs(w):
         return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(w[i].alias("word"), F.xxhash64(F.when(i > 0, w[i - 1])).alias("before")))
 
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-    return let(words, lambda w: F.when(F.size(w) > 0, F.array_distinct(pairs(w))))
+    return let(words, lambda w: F.when(F.size(w) > 0, pairs(w)))
 
 
 def lexicon(labelled: DataFrame, least: int = 5, least_odds: float = 4.0, least_evidence: float = 12.0) -> dict[str, float]:
@@ -255,7 +255,7 @@ def _calibrate(model: Model, drawn: DataFrame) -> tuple[float, float, float]:
             found = [s for at in range(0, len(b), 300) for s, _ in score_tokens(model, [_WORD.findall(t.lower()) for t in b["text"].iloc[at : at + 300]])]
             yield pd.DataFrame({"a": [s[0] for s in found], "b": [s[1] for s in found], "toxic": b["toxic"].to_numpy()})
 
-    found = drawn.mapInPandas(sums, "a double, b double, toxic int").orderBy("a", "b", "toxic").collect()
+    found = sorted(drawn.mapInPandas(sums, "a double, b double, toxic int").collect())
     x = np.array([[np.log1p(r[0]), r[1], 1.0] for r in found])
     y = np.array([r[2] for r in found], float)
     w = np.zeros(3)
