@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +60,22 @@ def ipv4(value: Column) -> Column:
     return F.when(v.rlike(rf"^{octet}(\.{octet}){{3}}$"), v)
 
 
+def ipv6(value: Column) -> Column:
+    """The compressed lower-case form of an IPv6 address."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else ipaddress.IPv6Address(text).compressed
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def of(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action=None) if len(s) else s
+
+    return of(_clean(value))
+
+
 def image(value: Column) -> Column:
     v = _clean(value)
     return F.when(v.rlike(r"^[A-Za-z0-9_-]{1,128}$"), v)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +67,35 @@ def address_class(ip: Column) -> Column:
     )
 
 
+def address_class6(ip: Column) -> Column:
+    """The same classes for IPv6 (null of anything else); addresses that hold an IPv4 one are judged by that."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            a = ipaddress.IPv6Address((text or "").strip().strip("[]"))
+        except ValueError:
+            return None
+        n = int(a)
+        if a.is_loopback:
+            return "loopback"
+        if n >> 118 == 0xFE80 >> 6:
+            return "link_local"
+        if n >> 121 == 0xFC00 >> 9:
+            return "private"
+        if n == 0 or n >> 120 == 0xFF or n >> 96 == 0x20010DB8:
+            return "not_global"
+        if n >> 32 in (0, 0xFFFF):
+            return f"v4:{ipaddress.IPv4Address(n & 0xFFFFFFFF)}"
+        return "public"
+
+    @F.pandas_udf("string")
+    def of(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action=None) if len(s) else s
+
+    found = of(ip)
+    return F.when(found.startswith("v4:"), address_class(F.substr(found, F.lit(4)))).otherwise(found)
+
+
 def allowed_hosts(hosts: DataFrame, allowed: list[str]) -> DataFrame:
     """hosts (host) with allowed: an entry is that host alone, or with a leading dot that domain and all below it."""
     h = F.lower(F.regexp_replace("host", r"\.+$", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import selectors as S
 from ..functions import web as W
+from ..sources import public as P
 from ..sources import tabular as T
 from . import model as M
 
@@ -43,7 +44,36 @@ def _ranges(spark, d):
     return T.coalesced_ranges(x.select(c("l_suppkey").alias("source"), (c("l_orderkey") * 100 + c("l_linenumber")).alias("start"), c("l_quantity").cast("long").alias("size")), 4096)
 
 
+def _v6(column):
+    """Every customer's address, of one of ten kinds."""
+    n = c("c_custkey").cast("string")
+    kinds = [F.lit("::1"), F.concat(F.lit("FE80::"), n), F.concat(F.lit("fd00::"), n), F.lit("::"), F.lit("ff02::1"), F.concat(F.lit("2001:DB8::"), n), F.lit("::ffff:10.0.0.1"), F.concat(F.lit("2606:4700::"), n), F.lit("::ffff:8.8.8.8"), F.lit("not one")]
+    return column(F.element_at(F.array(*kinds), (c("c_custkey") % 10 + 1).cast("int")))
+
+
+def _hits(s, d):
+    row = lambda i, url: F.concat(F.lit(f'{{"title":"t{i}","content":"s{i}","url":"'), url, F.lit('"}'))
+    body = F.concat(F.lit('{"results":['), row(0, c("url")), F.lit(","), row(1, F.lit("nonsense")), F.lit(","), row(2, F.lit("https://example.org/x")), F.lit("]}"))
+    return P.search_hits(M.t(s, d, "pages").select(c("page_id").alias("id"), F.when(c("page_id") % 5 == 0, "broken").otherwise(body).alias("body")))
+
+
+def _requests(s, d):
+    x = M.t(s, d, "nation").select(F.when(c("n_nationkey") % 4 == 0, "no domain").otherwise(F.concat(F.lit("N"), "n_nationkey", F.lit(".Example.org"))).alias("domain"))
+    return P.requests(x, "https://dns.test/{domain}/{type}", "https://rdap.test/{domain}", "https://log.test/?q={domain}", "https://web.test/?u={domain}&n={limit}")
+
+
+def _replay(s, d):
+    asked = M.t(s, d, "pages").select("page_id", F.lit("get").alias("method"), F.concat("url", F.lit("#x")).alias("url"), F.lit(None).cast("string").alias("body"))
+    kept = M.t(s, d, "pages").filter("page_id % 3 = 0").select(P.fixture_key(F.lit("GET"), c("url"), F.lit("")).alias("key"), F.lit(200).alias("status")).distinct()
+    return P.replay(asked, kept).select("page_id", "status")
+
+
 QUERIES = {
+    "ip_guard_v6": lambda s, d: M.t(s, d, "customer").select("c_custkey", _v6(W.address_class6).alias("class")),
+    "selector_ipv6": lambda s, d: M.t(s, d, "customer").select("c_custkey", _v6(S.ipv6).alias("normalized")),
+    "search_hits": _hits,
+    "public_requests": _requests,
+    "replayed_responses": _replay,
     "url_canonicalise": lambda s, d: M.t(s, d, "pages").select("page_id", W.canonical_url(F.concat("url", F.when(c("page_id") % 3 == 0, "&b=2&a=1&fbclid=x").otherwise(""))).alias("canonical")),
     "url_hosts": _hosts,
     "browser_handoff": lambda s, d: M.t(s, d, "pages").select("page_id", W.browser_handoff(F.when(c("page_id") % 4 == 0, F.concat(F.lit("ftp://"), "url")).otherwise(c("url"))).alias("allowed")),
@@ -68,6 +98,12 @@ QUERIES = {
 
 _host_sql = "SELECT page_id, nullif(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host FROM pages"
 SQL = {
+    "ip_guard_v6": "SELECT c_custkey, ['loopback', 'link_local', 'private', 'not_global', 'not_global', 'not_global', 'private', 'public', 'public', NULL][c_custkey % 10 + 1] AS class FROM customer",
+    "selector_ipv6": "SELECT c_custkey, ['::1', 'fe80::' || c_custkey, 'fd00::' || c_custkey, '::', 'ff02::1', '2001:db8::' || c_custkey, '::ffff:10.0.0.1', '2606:4700::' || c_custkey, '::ffff:8.8.8.8', NULL][c_custkey % 10 + 1] AS normalized FROM customer WHERE c_custkey < 10000 UNION ALL SELECT c_custkey, ['::1', NULL, NULL, '::', 'ff02::1', NULL, '::ffff:10.0.0.1', NULL, '::ffff:8.8.8.8', NULL][c_custkey % 10 + 1] FROM customer WHERE c_custkey >= 10000",
+    "search_hits": "SELECT page_id AS id, 0 AS position, 't0' AS title, url, 's0' AS snippet FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, 2, 't2', 'https://example.org/x', 's2' FROM pages WHERE page_id % 5 <> 0",
+    "public_requests": """WITH d AS (SELECT 'n' || n_nationkey || '.example.org' AS d FROM nation WHERE n_nationkey % 4 <> 0) SELECT d AS domain, 'dns:' || t AS kind, 'https://dns.test/' || d || '/' || t AS url FROM d, unnest(['A', 'AAAA', 'CNAME', 'MX', 'NS', 'TXT', 'SOA']) u(t)
+      UNION ALL SELECT d, 'rdap', 'https://rdap.test/' || d FROM d UNION ALL SELECT d, 'certificates', 'https://log.test/?q=' || d FROM d UNION ALL SELECT d, 'archive', 'https://web.test/?u=' || d || '&n=100' FROM d""",
+    "replayed_responses": "SELECT p.page_id, CASE WHEN EXISTS (FROM pages q WHERE q.page_id % 3 = 0 AND q.url = p.url) THEN 200 END AS status FROM pages p",
     "url_canonicalise": rf"""WITH u AS (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '&b=2&a=1&fbclid=x' ELSE '' END AS url FROM pages),
       p AS (SELECT page_id, split_part(url, '#', 1) AS u FROM u), q AS (SELECT page_id, regexp_extract(u, '^([a-z]+)://([^/?]*)([^?]*)', ['s', 'h', 'p']) AS x, CASE WHEN contains(u, '?') THEN substring(u, strpos(u, '?') + 1) ELSE '' END AS q FROM p),
       k AS (SELECT page_id, x, list_sort(list_filter(string_split(q, '&'), lambda v: v <> '' AND NOT regexp_matches(lower(v), '{TRACKED}'))) AS k FROM q)
