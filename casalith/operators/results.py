@@ -129,19 +129,21 @@ def by_cards(projected: DataFrame, f: CardFilter) -> DataFrame:
     """
     if f.empty:
         return projected
-    typed = "cards array<struct<module:string,fields:struct<verified:boolean,private:boolean,age:bigint,day:string>>>"
+    typed = "fields struct<cards:array<struct<module:string,fields:struct<verified:boolean,private:boolean,age:bigint,day:string>>>>"
     # the filter's date field is read under one name
-    source = F.regexp_replace("search_fields", f'"{re.escape(f.date_field)}"\\s*:', '"day":') if f.date_from or f.date_to else F.col("search_fields")
-    cards = F.from_json(source, typed)["cards"]
-    empty = F.from_json(F.lit('{"cards":[{"fields":{}}]}'), typed)["cards"]
-    rows = projected.withColumn("__cards", F.when(F.size(cards) > 0, cards).otherwise(empty))
-    rows = rows.withColumn("__ok", F.transform("__cards", lambda c: matches(c, f))).filter(F.array_contains("__ok", True))
+    text = F.regexp_replace("payload_json", f'"{re.escape(f.date_field)}"\\s*:', '"day":') if f.date_from or f.date_to else F.col("payload_json")
+    empty = F.struct(F.lit(None).cast("string").alias("module"), F.from_json(F.lit("{}"), "verified boolean, private boolean, age bigint, day string").alias("fields"))
+    one = lambda cards: F.when(F.size(cards) > 0, F.transform(cards, lambda c: matches(c, f))).otherwise(F.array(matches(empty, f)))
+    parsed = F.from_json(F.when(F.col("readable"), text), typed)["fields"]["cards"]
+    # as an array of one it is parsed once for all that the filter asks of it
+    ok = F.element_at(F.transform(F.array(parsed), one), 1)
+    rows = projected.filter(F.array_contains(ok, True))
     if f.field or f.pattern:
         own = F.from_json("search_fields", "cards array<struct<fields:string>>")["cards"]
         texts = F.when(F.size(own) > 0, F.transform(own, lambda c: F.coalesce(c["fields"], F.lit("{}")))).otherwise(F.array("search_fields"))
-        hit = F.zip_with("__ok", has_leaf(texts, f), lambda a, b: a & b)
+        hit = F.zip_with(ok, has_leaf(texts, f), lambda a, b: a & b)
         rows = rows.withColumn("__hit", hit).filter(F.array_contains("__hit", True)).drop("__hit")
-    return rows.drop("__cards", "__ok")
+    return rows
 
 
 def facets(projected: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ def _classified(s, d):
 QUERIES = {
     "activity_page": lambda s, d: R.page_with_total(t(s, d, "events").select("event_id", "event_type"), [F.desc("event_id")], 200, 100),
     "runs_page": lambda s, d: R.page_with_total(M.runs(s, d).select("run_id", "started_utc", "row_seq"), [F.desc("started_utc"), F.desc("row_seq")], 50),
-    "results_filtered_page": lambda s, d: RP.R.filtered_page(RP.projected(s, d), RP.ALPHA, "found", ("github",), 50, 20).select("sequence", "total", "run_total"),
+    "results_filtered_page": lambda s, d: RP.R.filtered_page(RP.projected(s, d), RP.ALPHA, "not_found", ("github",), 50, 20).select("sequence", "total", "run_total"),
     "latest_reviews": lambda s, d: R.latest(_reviews(s, d), ["suggestion_id"], [F.desc("row_seq")]),
     "suggestions_with_review": lambda s, d: R.with_latest_review(t(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id")), _reviews(s, d)),
     "accepted_links": lambda s, d: R.accepted_links(_reviews(s, d).withColumnRenamed("suggestion_id", "item_id"), M.merges(s, d)),
@@ -229,7 +229,7 @@ QUERIES = {
 SQL = {
     "activity_page": "SELECT event_id, event_type, row_number() OVER (ORDER BY event_id DESC)::INT AS position, (SELECT count(*) FROM events) AS total FROM (SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 200 OFFSET 100)",
     "runs_page": f"SELECT *, row_number() OVER (ORDER BY started_utc DESC, row_seq DESC)::INT AS position, (SELECT count(*) FROM events) AS total FROM (SELECT run_id, started_utc, row_seq FROM ({M.RUNS_SQL}) ORDER BY started_utc DESC, row_seq DESC LIMIT 50)",
-    "results_filtered_page": f"""WITH p AS ({RP.PROJECTED_SQL}), f AS (SELECT sequence, count(*) OVER () AS total, (SELECT count(*) FROM p) AS run_total FROM p WHERE readable AND NOT broken AND sequence % 3 = 0 AND k % 90 BETWEEN 10 AND 60 AND effective_outcome = 'found' AND source = 'github')
+    "results_filtered_page": f"""WITH p AS ({RP.PROJECTED_SQL}), f AS (SELECT sequence, count(*) OVER () AS total, (SELECT count(*) FROM p) AS run_total FROM p WHERE readable AND NOT broken AND sequence % 3 = 0 AND k % 90 BETWEEN 10 AND 60 AND effective_outcome = 'not_found' AND source = 'github')
       SELECT * FROM f ORDER BY sequence LIMIT 50 OFFSET 20""",
     "latest_reviews": f"SELECT suggestion_id, max_by(decision, row_seq) AS decision, max(row_seq) AS row_seq, max_by(entity_id, row_seq) AS entity_id FROM ({REVIEWS}) GROUP BY 1",
     "suggestions_with_review": f"SELECT 'd' || doc_id AS id, coalesce(decision, 'pending') AS decision FROM documents LEFT JOIN ({LAST_REVIEW}) r ON r.suggestion_id = 'd' || doc_id",
