@@ -64,6 +64,17 @@ def scales_without(values: DataFrame, needed: str = "insufficient_information")
     return values.groupBy("scale_id").agg(F.max((F.col("value_key") == needed).cast("int")).alias("has")).filter("has = 0").select(F.col("scale_id").alias("key"), F.lit(f"no value {needed}").alias("violation"))
 
 
+def scales_to_seed(offered: DataFrame, held: DataFrame, needed: str = "insufficient_information") -> DataFrame:
+    """Rows of offered (scale_id, version, value_key, ...) of scales and versions that held (scale_id, version) doesn't have.
+
+    What is held stays as it is. An offered scale without the needed value raises ValueError.
+    """
+    lacking = scales_without(offered.withColumn("scale_id", F.concat_ws(" ", "scale_id", "version")), needed).select("key").limit(1).collect()
+    if lacking:
+        raise ValueError(f"scale {lacking[0]['key']} has no value {needed}")
+    return offered.join(held.select("scale_id", "version").distinct(), ["scale_id", "version"], "left_anti").select(offered.columns)
+
+
 def import_errors(rows: DataFrame, normalise: Column) -> DataFrame:
     """Staged rows (row_no, kind, original, normalized) that may not go in: a kind and value that came before, or a value that doesn't normalise to itself."""
     again = F.row_number().over(Window.partitionBy("kind", "normalized").orderBy("row_no")) > 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,3 +72,35 @@ def module_counters(cards: DataFrame) -> DataFrame:
     return cards.agg(
         F.countDistinct("module").alias("modules"), F.count_if(F.col("module").isNull()).alias("unclassified"), F.count_if(~F.col("valid")).alias("malformed"), F.count_if(F.col("valid") & F.col("module").isNotNull()).alias("accounts")
     )
+
+
+def publish(rows: DataFrame, path: str) -> DataFrame:
+    """rows written as a table at path, which mustn't be there (FileExistsError): written beside it and renamed, so it's whole or absent."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    target, staging = at(path), at(f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    try:
+        rows.write.parquet(staging.toString())
+        if files.exists(target) or not files.rename(staging, target):
+            raise FileExistsError(path)
+    finally:
+        files.delete(staging, True)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def restore(claimed: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """A package's files (name, content binary) published at path with hash and size, once each of them is what the manifest claims.
+
+    claimed: name, hash, size. Anything changed, doubled, absent or not claimed raises ValueError with a count of each finding, and
+    nothing is written.
+    """
+    from .lineage import package_verify
+
+    actual = files.select("name", "content", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"))
+    wrong = package_verify(claimed, actual.drop("content")).filter("finding <> 'ok'").groupBy("finding").count().orderBy("finding").collect()
+    if wrong:
+        raise ValueError("the package was changed or is damaged: " + ", ".join(f"{r['count']} {r['finding']}" for r in wrong))
+    return publish(actual, path)

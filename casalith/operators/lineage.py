@@ -9,8 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.web import html_escape
+from .exports import markdown_escape
 from .stored import cut
 
+#: What an HTML report begins with: no scripts, no outside resources.
+HTML_HEAD = """<!doctype html><html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src 'none'; style-src 'unsafe-inline'"><title>Report</title></head><body>"""
+
 
 def artifact_rows(artifacts: DataFrame, derivations: DataFrame, captures: DataFrame, observations: DataFrame) -> DataFrame:
     """artifact_id, locator (of its first capture), current observations.
@@ -55,11 +60,43 @@ def supersede(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(first, ["artifact_id", "kind", "locator"], "left").select(F.col("id").alias("superseded_id"), "superseded_by")
 
 
-def preview(observations: DataFrame, most_bytes: int = 2_000_000, most_rows: int = 10_000) -> DataFrame:
-    """Observations of each artifact, in order, as long as their sizes add up to most_bytes at most. A preview: the limit is the feature."""
-    order = Window.partitionBy("artifact_id").orderBy("row_seq")
-    sized = observations.withColumns({"total": F.sum(F.octet_length("value")).over(order), "n": F.row_number().over(order)})
-    return sized.filter((F.col("total") <= most_bytes) & (F.col("n") <= most_rows)).drop("n")
+def preview(observations: DataFrame, most_bytes: int = 2_000_000, most_rows: int = 10_000, salts: int = 64) -> DataFrame:
+    """Observations of each artifact, in order, as long as their sizes add up to most_bytes at most. A preview: the limit is the feature.
+
+    A row beyond the bounds within its salt is beyond them in the whole artifact too, so the salts are cut first and a task that
+    orders an artifact gets at most `salts` times the bounds, however large the artifact. Null values have no size.
+    """
+    size = F.coalesce(F.octet_length("value"), F.lit(0))
+
+    def within(rows: DataFrame, *keys: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("row_seq")
+        sized = rows.withColumns({"total": F.sum(size).over(order), "n": F.row_number().over(order)})
+        return sized.filter((F.col("total") <= most_bytes) & (F.col("n") <= most_rows)).drop("n")
+
+    salted = observations.withColumn("__salt", F.pmod(F.xxhash64("row_seq"), F.lit(salts)))
+    return within(within(salted, "artifact_id", "__salt").drop("__salt", "total"), "artifact_id")
+
+
+def snapshot_agreement(citations: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """citations (artifact_id, snapshot_hash, snapshot_index, locator, value, ...) with verdict and basis.
+
+    snapshots: artifact_id, snapshot_hash, engine, row_seq, observations (array of struct kind, locator, value). The latest of an
+    artifact and hash counts. uncited (no hash or index), unavailable (no such snapshot), out_of_range, differs (value or locator) or
+    agrees; basis says what agreement rests on. Observations are joined one by one, so a snapshot isn't copied to each citation.
+    """
+    last = snapshots.groupBy("artifact_id", "snapshot_hash").agg(F.max_by(F.struct("engine", "observations"), "row_seq").alias("__s"))
+    heads = last.select("artifact_id", "snapshot_hash", F.col("__s.engine").alias("__engine"), F.lit(True).alias("__there"))
+    each = last.select("artifact_id", "snapshot_hash", F.posexplode("__s.observations").alias("snapshot_index", "__o")).withColumn("snapshot_index", F.col("snapshot_index").cast("long"))
+    j = citations.withColumn("snapshot_index", F.col("snapshot_index").cast("long")).join(heads, ["artifact_id", "snapshot_hash"], "left").join(each, ["artifact_id", "snapshot_hash", "snapshot_index"], "left")
+    same = F.col("__o.value").eqNullSafe(F.col("value")) & F.col("__o.locator").eqNullSafe(F.col("locator"))
+    verdict = (
+        F.when(F.col("snapshot_hash").isNull() | F.col("snapshot_index").isNull(), "uncited").when(F.col("__there").isNull(), "unavailable")
+        .when(F.col("__o").isNull(), "out_of_range").when(same, "agrees").otherwise("differs")
+    )
+    kind = F.col("__o.kind")
+    rests = F.when(kind == "image.query_recipe", "recorded recipe").when(F.startswith(kind, F.lit("ocr.")), "recorded words").otherwise("recorded transformation")
+    out = j.withColumn("verdict", verdict)
+    return out.withColumn("basis", F.when(F.col("verdict") == "agrees", F.concat_ws(" of ", rests, "__engine"))).select(*citations.columns, "verdict", "basis")
 
 
 def chain_hash(previous: Column, *fields: Column) -> Column:
@@ -137,20 +174,47 @@ def report(findings: DataFrame, citations: DataFrame, subjects: DataFrame, most:
     return j.select("finding_id", F.concat_ws("\n", F.concat(F.lit("## "), F.col("title")), F.array_join("l.line", "\n")).alias("body"))
 
 
-def token_bucket(requests: DataFrame, burst: float, per_second: float) -> DataFrame:
-    """requests (key, at double seconds, seq) with allowed, by a bucket per key of `burst` tokens filled at per_second.
+def report_document(findings: DataFrame, bodies: DataFrame, form: str = "markdown", most: int = 100, most_bytes: int = 8 << 20) -> DataFrame:
+    """One row (document): the sections of a report in order of position. findings: finding_id, position, heading. bodies: finding_id, body.
 
-    Order matters within a key, so each key's requests are folded in order of time; keys are independent.
+    form is markdown or html; headings and bodies are escaped for it. More than `most` findings or most_bytes of report raise ValueError,
+    before anything is put together, so the row is bounded.
     """
-    g = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("r"))
+    escape = {"markdown": markdown_escape, "html": html_escape}[form]
+    start, middle, end, seam = ("## ", "\n\n", "\n", "\n") if form == "markdown" else ("<section><h2>", "</h2><pre>", "</pre></section>", "")
+    heading, body = (escape(F.coalesce(c, F.lit(""))) for c in ("heading", "body"))
+    rows = findings.join(bodies, "finding_id", "left").select("position", "finding_id", F.concat(F.lit(start), heading, F.lit(middle), body, F.lit(end)).alias("section"))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("section")), F.lit(0)).alias("bytes")).first()
+    if size["n"] > most or size["bytes"] > most_bytes:
+        raise ValueError(f"a report holds {most} findings and {most_bytes} bytes at most, not {size['n']} and {size['bytes']}")
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("position", "finding_id", "section")))["section"], seam)
+    return rows.agg((F.concat(F.lit(HTML_HEAD), text, F.lit("</body></html>")) if form == "html" else text).alias("document"))
+
 
-    def step(s, x):
-        full = F.least(F.lit(float(burst)), s["tokens"] + F.greatest(F.lit(0.0), x["at"] - s["last"]) * per_second)
-        ok = full >= 1.0
-        return F.struct(F.when(ok, full - 1.0).otherwise(full).alias("tokens"), x["at"].alias("last"), F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), x["seq"].alias("seq"), ok.alias("allowed")))).alias("out"))
+def token_bucket(requests: DataFrame, burst: float, per_second: float) -> DataFrame:
+    """requests (key, at double seconds, seq long) with allowed, by a bucket per key of `burst` tokens filled at per_second.
+
+    Order matters within a key: a task streams its keys' requests in order of time and holds one bucket and one batch, however many
+    requests a key has. A request without a time comes first and lets none pass; null is a key of its own.
+    """
 
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.element_at("r.at", 1).alias("last"), F.array().cast("array<struct<at:double,seq:bigint,allowed:boolean>>").alias("out"))
-    return g.select("key", F.inline(F.aggregate("r", start, step, lambda s: s["out"])))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tokens, last = object(), 0.0, None
+        for b in batches:
+            allowed = []
+            for unset, key, at in zip(b["key"].isna().tolist(), b["key"].tolist(), b["at"].tolist(), strict=True):
+                key, at = None if unset else key, None if at is None or at != at else at
+                if key != now:
+                    now, tokens, last = key, float(burst), at
+                last = at if last is None else last
+                if at is not None:
+                    tokens, last = min(float(burst), tokens + max(0.0, at - last) * per_second), at
+                allowed.append(tokens >= 1.0)
+                tokens -= 1.0 if tokens >= 1.0 else 0.0
+            yield b.assign(allowed=allowed)
+
+    rows = requests.select("key", F.col("at").cast("double").alias("at"), F.col("seq").cast("long").alias("seq"))
+    return rows.repartition("key").sortWithinPartitions("key", "at", "seq").mapInPandas(fold, f"key {rows.schema['key'].dataType.simpleString()}, at double, seq long, allowed boolean")
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -224,3 +224,20 @@ def call_bounds(tasks: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, calls, credits): at most so many calls and credits for tasks (source) by what each source (source, calls_each, credits_each) takes."""
     n = tasks.groupBy("source").agg(F.count("*").alias("n"))
     return n.join(sources, "source").select("source", (F.col("n") * F.col("calls_each")).alias("calls"), (F.col("n") * F.col("credits_each")).alias("credits"))
+
+
+#: Fixed value: the largest latitude that a web map shows.
+MOST_LATITUDE = 85.0511
+
+
+def on_map(locations: DataFrame, words: str = "") -> DataFrame:
+    """Locations (label, uncertainty, latitude, ...) whose label or uncertainty has the words, in any case, with mapped: whether a map can show them."""
+    said = F.lower(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("uncertainty", F.lit(""))))
+    return locations.filter(F.contains(said, F.lit(words.lower()))).withColumn("mapped", F.coalesce(F.abs("latitude") <= MOST_LATITUDE, F.lit(False)))
+
+
+def submitted_keys(runs: DataFrame, parent: str) -> DataFrame:
+    """(kind, normalized): the distinct selectors in the plans of runs (plan: JSON with selectors and parent) of one import. Broken plans have none."""
+    plan = F.from_json("plan", "parent struct<id:string>, selectors array<struct<kind:string,normalized:string>>")
+    rows = runs.select(plan.alias("p")).filter(F.col("p.parent.id") == parent)
+    return rows.select(F.inline("p.selectors")).distinct()

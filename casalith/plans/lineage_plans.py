@@ -112,5 +112,9 @@ SQL = {
     "report_citations": """SELECT n_nationkey AS finding_id, concat_ws(chr(10), '## ' || n_name, (SELECT string_agg('- ' || CASE WHEN s_suppkey % 3 <> 0 THEN s_name ELSE '[not available]' END, chr(10) ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey)) AS body FROM nation""",
     "html_title_links": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a href="[^"]+"')) AS links FROM pages""",
     "json_scalars": "SELECT event_id, '/k' AS pointer, props->>'$.k' AS value FROM events",
+    "token_bucket_replay": """WITH RECURSIVE r AS MATERIALIZED (SELECT event_type AS key, event_id / 20 AS sec, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+      f AS (SELECT key, n, sec, 4.0::DOUBLE AS tokens, true AS allowed FROM r WHERE n = 1
+        UNION ALL SELECT key, n, sec, CASE WHEN full_ >= 1 THEN full_ - 1 ELSE full_ END, full_ >= 1 FROM (SELECT r.key, r.n, r.sec, least(5.0::DOUBLE, f.tokens + greatest(0.0::DOUBLE, r.sec - f.sec) * 2) AS full_ FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1))
+      SELECT key, count(*) FILTER (allowed) AS allowed, count(*) AS asked FROM f GROUP BY key""",
     "constraint_violations": "SELECT 'status is known' AS rule, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O') HAVING count(*) > 0",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("search_plans", "entity_plans", "scalar_plans", "result_plans", "vector_plans", "lineage_plans", "read_plans")
+PARTS = ("search_plans", "entity_plans", "scalar_plans", "result_plans", "vector_plans", "lineage_plans", "read_plans", "record_plans")
 
 
 def _all(name: str) -> dict:
