@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import dealt, numbered, running
+
 
 def page_with_total(rows: DataFrame, order: list, size: int = 50, offset: int = 0) -> DataFrame:
     """A page in order, with position (from 1, within the page) and total (of all rows). order ends in a key, so that pages never overlap."""
@@ -45,7 +47,7 @@ def evidence_of_clusters(links: DataFrame, merges: DataFrame) -> DataFrame:
     """links to entities with canonical_id and place (from 1), in order of time, then id, within the merged entity."""
     who = links.filter("subject_kind = 'entity'").join(merges.select(F.col("entity_id").alias("subject_id"), F.col("canonical_id").alias("__c")), "subject_id", "left")
     named = who.withColumn("canonical_id", F.coalesce("__c", "subject_id")).drop("__c")
-    return named.withColumn("place", F.row_number().over(Window.partitionBy("canonical_id").orderBy("created_utc", "id")))
+    return numbered(named, ["canonical_id"], ["created_utc", "id"], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def entity_views(entities: DataFrame, merges: DataFrame, identifiers: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,8 +100,9 @@ def pointer_value(document: Column, pointer: Column) -> Column:
 def nearest_rank(rows: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """(percent, value): the value at place floor((n - 1) * percent / 100) of the sorted column, from 0. Counts by value are summed up, not rows."""
     counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    last = F.sum("c").over(Window.orderBy("v"))
-    placed = counts.withColumns({"last": last, "n": F.sum("c").over(Window.partitionBy())})
+    counts = dealt(counts, [], ["v"])
+    n = counts.agg(F.sum("c")).first()[0] or 0
+    placed = running(counts, [], ["v"], F.col("c"), "last").withColumn("n", F.lit(n).cast("long"))
     wanted = placed.select("v", "c", "last", "n", F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent"))
     at = F.floor((F.col("n") - 1) * F.col("percent") / 100)
     return wanted.filter((at < F.col("last")) & (at >= F.col("last") - F.col("c"))).select("percent", F.col("v").alias("value"))

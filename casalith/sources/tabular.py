@@ -8,10 +8,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import selectors as S
+from ..operators.ordered import dealt, running
 
 #: Bounds of one imported table.
 MOST_ROWS, MOST_COLUMNS, MOST_CELL = 20_000, 64, 8192
@@ -114,8 +115,9 @@ def lines(texts: DataFrame) -> DataFrame:
 
 def coalesced_ranges(ranges: DataFrame, gap: int = 4096) -> DataFrame:
     """(source, first, last, pieces): byte ranges (source, start, size) joined where at most `gap` bytes lie between them."""
-    order = Window.partitionBy("source").orderBy("start", "size")
-    end = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("__new", F.when(end.isNull() | (F.col("start") > end + gap), 1).otherwise(0))
-    named = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return named.groupBy("source", "__island").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("last"), F.count("*").alias("pieces")).drop("__island")
+    one = ranges.groupBy("source", "start").agg(F.max("size").alias("size"), F.count("*").alias("pieces"))
+    rows = dealt(one, ["source"], ["start"])
+    ended = running(rows, ["source"], ["start"], F.col("start") + F.col("size"), "__end", F.max, before=True)
+    new = F.when(F.col("__end").isNull() | (F.col("start") > F.col("__end") + gap), 1).otherwise(0)
+    named = running(ended, ["source"], ["start"], new.cast("long"), "__island")
+    return named.groupBy("source", "__island").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("last"), F.sum("pieces").alias("pieces")).drop("__island")
