@@ -8,9 +8,12 @@ from ..operators import checks as K
 from ..operators import exports as X
 from ..operators import lineage as L
 from ..operators import reads as R
+from ..operators import search as SE
 from ..operators.stored import new_path
 from ..sources import registry as G
+from ..sources import tabular as T
 from . import model as M
+from .search_plans import ranked_sql
 
 c, t = F.col, M.t
 KINDS = ("username", "domain", "name", "email", "phone", "ip", "wallet", "image")
@@ -80,7 +83,39 @@ def _submitted(s, d):
     return R.submitted_keys(t(s, d, "events").select(F.when(c("event_id") % 5 == 0, "broken").otherwise(plan).alias("plan")), "i1")
 
 
+#: Passages, and queries with the number of the passage that answers them: a yardstick for the ranking, so it is a fixed list.
+PASSAGES = (
+    "The harbour office logs every vessel that berths after dark.",
+    "Night trains between the two capitals stop at the border for an hour.",
+    "Invoices are paid within thirty days unless the buyer disputes them.",
+    "The archive keeps letters of the botanist and her drawings of ferns.",
+    "A vessel without papers is held until the harbour office hears from its owner.",
+    "Ferns grow along the north wall where the sun seldom falls.",
+    "The border was closed for an hour after the storm.",
+    "Letters to the buyer went unanswered, and the invoices stayed open.",
+    "The owner of the mill sold it to his brother in spring.",
+    "Trains were late all spring because of works on the northern line.",
+)
+QUESTIONS = (("vessel owner", 4), ("night trains", 1), ("disputes", 2), ("botanist letters", 3), ("ferns wall", 5), ("border storm", 6), ("invoices unanswered", 7), ("mill spring", 8), ("spring trains", 9), ("harbour dark", 0))
+
+
+def _lexical_quality(s, d):
+    rows = s.createDataFrame([("passage", str(i), "", p, "text", False) for i, p in enumerate(PASSAGES)], "subject_kind string, subject_id string, title string, body string, facet string, superseded boolean")
+    ix, out = SE.index(rows), None
+    for no, (q, answer) in enumerate(QUESTIONS):
+        top = SE.search(ix, q, limit=1).select(F.lit(no).alias("query_no"), "subject_id", (c("subject_id") == str(answer)).alias("right"))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def _origins(s, d):
+    x = t(s, d, "events").select("event_type", (c("user_id") % 20).alias("place"), c("user_id").alias("origin"), "event_id")
+    return T.with_origins(x, ["event_type", "place"], "origin", "event_id", 3).withColumn("origins", F.array_join(c("origins").cast("array<string>"), ","))
+
+
 QUERIES = {
+    "lexical_quality": _lexical_quality,
+    "value_origins": _origins,
     "source_choices": _choices,
     "profile_outcomes": _profiles,
     "snapshot_agreement": _snapshots,
@@ -112,7 +147,12 @@ def _mark(x):
     return rf"replace(replace(replace(regexp_replace(coalesce({x}, ''), '([\\`*_{{}}\[\]()#+.!|~-])', '\\\1', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
+_PASSAGES = "SELECT * FROM (VALUES " + ", ".join(f"('passage', '{i}', '', '{p}', 'text', false)" for i, p in enumerate(PASSAGES)) + ") v(subject_kind, subject_id, title, body, facet, superseded)"
+
 SQL = {
+    "lexical_quality": " UNION ALL ".join(f"SELECT {no} AS query_no, subject_id, subject_id = '{answer}' AS \"right\" FROM (SELECT * FROM ({ranked_sql(_PASSAGES, q)}) ORDER BY relevance, subject_id LIMIT 1)" for no, (q, answer) in enumerate(QUESTIONS)),
+    "value_origins": """WITH e AS (SELECT event_type, user_id % 20 AS place, user_id AS origin, min(event_id) AS at_, count(*) AS c FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type, place ORDER BY at_, origin) AS n FROM e)
+      SELECT event_type, place, sum(c)::BIGINT AS repeats, string_agg(origin::VARCHAR, ',' ORDER BY n) FILTER (n <= 3) AS origins FROM r GROUP BY 1, 2""",
     "source_choices": f"""WITH k AS (SELECT c_custkey, {_list(KINDS)}[c_custkey % 8 + 1] AS kind FROM customer), g(source, host, kinds, most_calls) AS (VALUES {", ".join(f"('{r[0]}', '{r[3]}', '{r[4]}', {r[6]})" for r in G.SOURCES if r[2] == "native")})
       SELECT c_custkey, kind, source, host, most_calls::INT AS most_calls FROM k JOIN g ON list_contains(string_split(kinds, ' '), kind)""",
     "profile_outcomes": f"""WITH r(source, shown, field, exact, numeric_id, missing, message, more) AS (VALUES {", ".join("(" + ", ".join(_sql(v) for v in (r[0], r[2], r[3], r[4], r[5], r[6], r[7], r[8])) + ")" for r in G.RECIPES)}),

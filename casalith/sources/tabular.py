@@ -8,7 +8,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import selectors as S
@@ -30,6 +30,20 @@ def bulk_list(texts: DataFrame, kind: str) -> DataFrame:
     return grouped.drop("identity")
 
 
+def with_origins(rows: DataFrame, keys: list[str], origin: str, order: str, most: int = 100) -> DataFrame:
+    """(keys, repeats, origins): how often each value occurs and its first `most` distinct origins, in the order first seen (ties by origin).
+
+    repeats counts all rows; the list is a short one by design. Origins are made distinct before they are ranked, null ones aside.
+    """
+    seen = rows.groupBy(*keys, origin).agg(F.min(order).alias("__at"), F.count("*").alias("__c"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__at", origin))
+    first = seen.filter(F.col(origin).isNotNull()).withColumn("__n", rank).filter(F.col("__n") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__n", origin)))[origin].alias("origins"))
+    counts = seen.groupBy(*keys).agg(F.sum("__c").alias("repeats"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    j = counts.alias("a").join(first.alias("b"), [same[0], *same[1:]] if len(same) > 1 else same[0], "left")
+    return j.select(*[F.col(f"a.{k}").alias(k) for k in keys], "repeats", F.coalesce("origins", F.array().cast(first.schema["origins"].dataType)).alias("origins"))
+
+
 def suggestions(table: DataFrame, columns: list[str], sample: int = 100) -> DataFrame:
     """(column, kind, valid, sampled, named): kinds that a column's header or its first values suggest."""
     headers = {"email": ("email",), "phone": ("phone", "mobile"), "domain": ("domain", "website"), "ip": ("ip_address",), "username": ("username", "handle"), "name": ("name",)}

@@ -13,6 +13,7 @@ from casalith.operators import lineage as L
 from casalith.operators import reads as R
 from casalith.operators import stored
 from casalith.sources import registry as G
+from casalith.sources import tabular as T
 
 
 def test_profiles(spark):
@@ -126,3 +127,9 @@ def test_preview_of_a_large_artifact(spark):
                 if total <= most_bytes:
                     want.add((seq, total))
         assert {(r.row_seq, r.total) for r in L.preview(rows, most_bytes, most_rows, 8).collect()} == want
+
+
+def test_origins(spark):
+    rows = [("a", "x", 3), ("a", "y", 1), ("a", "x", 0), ("a", None, -1), ("a", "z", 1), (None, "x", 1), ("b", None, 2)]
+    got = T.with_origins(spark.createDataFrame(rows, "v string, origin string, at int"), ["v"], "origin", "at", 2)
+    assert {r.v: (r.repeats, r.origins) for r in got.collect()} == {"a": (5, ["x", "y"]), None: (1, ["x"]), "b": (1, [])}
