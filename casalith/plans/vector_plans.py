@@ -44,11 +44,6 @@ def _gate(spark, d):
     return V.quality_gate(hit.select((c("label") == c("want")).alias("embedding_hit"), (c("query_id") % 200 == 0).alias("lexical_hit")))
 
 
-def _groups(spark, d):
-    e = items(spark, d)
-    return V.complete_link(e, V.pairs_within(e, 0.7), 0.3)
-
-
 def _boxes(spark, d):
     x = M.t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (c("l_quantity") % 7).alias("a"), (c("l_quantity") % 5).alias("b"))
     one = (c("a"), c("b"), c("a") + 4, c("b") + 3)
@@ -64,7 +59,7 @@ QUERIES = {
     "hybrid_rrf": _fused,
     "hamming_duplicates": lambda s, d: V.hamming_pairs(_hashes(s, d), 8),
     "diverse_round_robin": lambda s, d: V.round_robin(M.t(s, d, "documents").select("doc_id", "source"), "source", ["doc_id"]),
-    "complete_link_groups": _groups,
+    "complete_link_groups": lambda s, d: V.complete_link(items(s, d), None, 0.3),
     "box_overlap": _boxes,
 }
 

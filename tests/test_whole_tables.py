@@ -110,3 +110,20 @@ def test_chain_against_a_loop(spark):
         last = h
     rows = spark.createDataFrame([(r.id, "edited" if r.id == 30 else r.action, r.prev_hash, r.hash) for r in got], "id long, action string, prev_hash string, hash string")
     assert tuple(L.verify_chain(rows, ["id", "action"], 7).first()) == (50, 30, "event was changed")
+
+
+def test_complete_link_by_blocks(spark):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(3000, 8))
+    v[r.integers(0, 3000, 900)] = v[5]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near, groups = v @ v.T >= 0.3, []
+    for i in range(len(v)):
+        g = next((g for g in groups if near[i, g].all()), None)
+        if g is None:
+            groups.append([i])
+        else:
+            g.append(i)
+    items = spark.createDataFrame([(2 * i, x.tolist()) for i, x in enumerate(v)] + [(7, None)], "vec_id long, embedding array<double>")
+    for block in (1500, 700, 5000):
+        assert {(x.vec_id, x.group_id) for x in V.complete_link(items, None, 0.3, block).collect()} == {(2 * i, 2 * g[0]) for g in groups if len(g) > 1 for i in g}
