@@ -144,3 +144,15 @@ def test_origins(spark):
     rows = [("a", "x", 3), ("a", "y", 1), ("a", "x", 0), ("a", None, -1), ("a", "z", 1), (None, "x", 1), ("b", None, 2)]
     got = T.with_origins(spark.createDataFrame(rows, "v string, origin string, at int"), ["v"], "origin", "at", 2)
     assert {r.v: (r.repeats, r.origins) for r in got.collect()} == {"a": (5, ["x", "y"]), None: (1, ["x"]), "b": (1, [])}
+
+
+def test_titles_of_every_page(spark, tmp_path):
+    odd = ["<title>a &amp;&amp</title>", "<title>b&lt &gt;&nosuch;&amp;lt;</title><a href=\"/x?a=1&amp;b&amp\">x</a><svg><title>z</title></svg>", "<p>none</p>", "", None, "<title>&notit; x\n y </title>", "<title>\u00a0&quot;q&quot; &#65;\u00a0 </title>"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "page_id long, html string")
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.title, r.links) for r in LP.QUERIES["html_title_links"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {r[0]: r[1:] for r in con.sql(LP.SQL["html_title_links"]).fetchall()}
+    assert [v for k, v in E.read_html(odd[1]) if k in ("page.title", "link.href")] == ["b&lt >&nosuch;&lt;", "/x?a=1&b&amp"]
+    assert E.read_html("<title>&quot;&#65;&eacute;&notit;</title>")[0] == ("page.title", "\"A\u00e9&notit;")
