@@ -156,3 +156,12 @@ def test_titles_of_every_page(spark, tmp_path):
     assert got == {r[0]: r[1:] for r in con.sql(LP.SQL["html_title_links"]).fetchall()}
     assert [v for k, v in E.read_html(odd[1]) if k in ("page.title", "link.href")] == ["b&lt >&nosuch;&lt;", "/x?a=1&b&amp"]
     assert E.read_html("<title>&quot;&#65;&eacute;&notit;</title>")[0] == ("page.title", "\"A\u00e9&notit;")
+
+
+def test_address_classes_of_long_keys(spark, tmp_path):
+    keys = [10**n + i for n in (0, 3, 4, 5, 7, 8, 12, 17) for i in range(10)]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = SP.QUERIES["ip_guard_v6"](spark, str(tmp_path)).select("c_custkey", "class").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(SP.SQL["ip_guard_v6"]).select("c_custkey", "class").fetchall()))
