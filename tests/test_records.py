@@ -165,3 +165,13 @@ def test_address_classes_of_long_keys(spark, tmp_path):
     con.sql(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
     got = SP.QUERIES["ip_guard_v6"](spark, str(tmp_path)).select("c_custkey", "class").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(SP.SQL["ip_guard_v6"]).select("c_custkey", "class").fetchall()))
+
+
+def test_quotes_of_short_texts(spark, tmp_path):
+    texts = ["", None, "a", "ab", "é", "\U0001f600\U0001f600\U0001f600\U0001f600\U0001f600", "abcde", "abcdef", '"', '""', "é" * 80]
+    rows = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)] + [(4 * len(texts) + 2, "x" * 10_000_001)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: r.verdict for r in LP.QUERIES["lineage_quote_check"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got == dict(con.sql(LP.SQL["lineage_quote_check"]).fetchall())
