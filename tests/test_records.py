@@ -6,6 +6,7 @@ import uuid
 
 import duckdb
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from casalith.operators import checks as K
@@ -183,3 +184,22 @@ def test_reports_hold_all_citations(spark):
     subjects = citations.filter("subject_id % 3 > 0").select("subject_id", F.concat(F.lit("s"), "subject_id").alias("label"))
     got = {r.finding_id: r.body for r in L.report(findings, citations, subjects).collect()}
     assert got == {1: "\n".join(["## one", *(f"- s{i}" if i % 3 else "- [not available]" for i in range(250))]), 2: "## two"}
+
+
+def test_pages_that_the_parser_refused(spark, tmp_path, monkeypatch):
+    rest = "<title>a</title><a href=\"/x\">x</a>"
+    broken = ["<title>a<![x]>b</title>", "<title>a<![</title><title>b</title><![<a href=\"/x\">"]
+    odd = [f"{mark}{rest}{end}" for mark in ("<![", "<![x]>", "<![ x", "<![1]>", "<![endif]-->", "<![x", "<![CDATA[") for end in ("", "<p>y]></p>", mark)] + [f"{rest}<![x>"]
+    spark.createDataFrame(list(enumerate(odd + broken)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.title, r.links) for r in LP.QUERIES["html_title_links"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {r[0]: r[1:] for r in con.sql(LP.SQL["html_title_links"]).fetchall()} == dict(enumerate([("a", 1)] * len(odd) + [("", 0), ("b", 1)]))
+    assert E.read_html(broken[0]) == [("page.title", "ab")]
+    assert E.read_html("<p>a</p><![x]>b<![ c <i>d</i><![CDATA[e < f]]>")[-1] == ("page.text", "a b d")
+    assert E.read_html(f"<p>&#{'9' * 5000};&#{'0' * 5000}65;&#x{'F' * 5000};&#X00041;&#0;</p>") == [("page.text", "\ufffdA\ufffdA\ufffd")]
+
+    failed = spark.createDataFrame([(3, None, None, None, "no reading")], "page_id long, row_seq long, kind string, value string, error string")
+    monkeypatch.setattr(E, "html_observations", lambda pages, **options: failed)
+    with pytest.raises(PySparkException, match="page 3 no reading"):
+        LP.QUERIES["html_title_links"](spark, str(tmp_path)).collect()
